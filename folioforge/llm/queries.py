@@ -1,0 +1,76 @@
+"""Registered queries of this subpackage and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.llm import sitelines, splitting, tokenise
+from folioforge.plans.session import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized_segments(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "chunk_profiles"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "chunk_profiles"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.repeated_lines(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.without_repeated_lines(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids}
+
+
+_P5 = """
+WITH sized AS (
+  SELECT DISTINCT s.id, s.content, coalesce(p.chunk_size, star.chunk_size) AS size
+  FROM document_segments s
+  LEFT JOIN chunk_profiles p ON p.segment_type = lower(trim(s.segment_type)) AND p.segment_type <> '*'
+  CROSS JOIN (SELECT chunk_size FROM chunk_profiles WHERE segment_type = '*') star
+)
+SELECT id AS segment_id, max(CASE WHEN list_max(list_transform(string_split_regex(content, '[ \\t\\r\\n]+'), lambda x: length(x))) > size THEN 1 ELSE 0 END)::INT AS forced
+FROM sized WHERE length(content) > size GROUP BY id
+"""
+
+_P7_LINES = """
+WITH site AS (
+  SELECT doc_id, regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') AS host FROM documents
+), raw AS (
+  SELECT DISTINCT s.id, s.document_id, s.content, site.host FROM document_segments s JOIN site ON site.doc_id = s.document_id WHERE site.host <> ''
+), lines AS (
+  SELECT id, document_id, host, unnest(range(len(string_split(content, chr(10)))))::INT AS line_no, unnest(string_split(content, chr(10))) AS line FROM raw
+), norm AS (
+  SELECT id, document_id, host, line_no, trim(regexp_replace(lower(line), '[\\s\\v\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')) AS line FROM lines
+), freq AS (
+  SELECT host, line FROM norm WHERE length(line) >= 15 GROUP BY ALL HAVING count(DISTINCT document_id) >= 5
+), found AS (SELECT DISTINCT n.id, n.line_no FROM norm n JOIN freq f ON f.host = n.host AND f.line = n.line)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": _P5,
+        "p7_found": _P7_LINES + "SELECT id AS segment_id, line_no FROM found",
+        "p7_clean": _P7_LINES
+        + """
+, gone AS (SELECT id, list(line_no) AS g FROM found GROUP BY id), base AS (SELECT DISTINCT id, content FROM document_segments)
+SELECT b.id AS segment_id,
+  CASE WHEN g IS NULL THEN b.content ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(string_split(b.content, chr(10)), range(len(string_split(b.content, chr(10))))), lambda x: NOT list_contains(g, x[2]::INT)), lambda x: x[1]), chr(10)), '') END AS content,
+  coalesce(len(g), 0)::INT AS removed
+FROM base b LEFT JOIN gone USING (id)
+""",
+    }
