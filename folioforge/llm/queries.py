@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import sitelines, splitting, tokenise
+from folioforge.llm import neardup, sitelines, splitting, tokenise
 from folioforge.plans.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(table(spark, sf_dir, "document_segments"))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per segment: its class among texts that share 0.8 of their five-word shingles."""
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "document_segments"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_segments(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "chunk_profiles"))
 
@@ -32,7 +41,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids}
 
 
 _P5 = """
