@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import neardup, sitelines, splitting, tokenise
+from folioforge.llm import leakage, neardup, sitelines, splitting, tokenise
 from folioforge.plans.session import table
 
 
@@ -40,9 +40,29 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found}
+
 
+_P1 = """
+WITH s AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM document_segments),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM s WHERE len(w) >= 40),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT a AS segment_a, b AS segment_b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)
+"""
+
+_P9 = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS r FROM d WHERE len(w) >= 13),
+ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS r FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)
+"""
 
 _P5 = """
 WITH sized AS (
@@ -72,7 +92,9 @@ WITH site AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
         "p5_found": _P5,
+        "p9_found": _P9,
         "p7_found": _P7_LINES + "SELECT id AS segment_id, line_no FROM found",
         "p7_clean": _P7_LINES
         + """
