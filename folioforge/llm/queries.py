@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import leakage, neardup, sitelines, splitting, tokenise
+from folioforge.llm import leakage, mojibake, neardup, sitelines, splitting, tokenise
 from folioforge.plans.session import table
 
 
@@ -44,8 +44,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 _P1 = """
