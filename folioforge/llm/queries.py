@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import leakage, mojibake, neardup, sitelines, splitting, tokenise
+from folioforge.llm import hashknn, leakage, mojibake, neardup, sitelines, splitting, tokenise
 from folioforge.plans.session import table
 
 
@@ -20,6 +20,16 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "document_segments"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashknn.similar_pairs(table(spark, sf_dir, "document_segments"))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of every segment whose id is divisible by 50, against all."""
+    segments = table(spark, sf_dir, "document_segments")
+    return hashknn.nearest(segments, segments.where(F.col("id") % 50 == 0))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_segments(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "chunk_profiles"))
 
@@ -53,7 +63,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 _P1 = """
