@@ -1,16 +1,16 @@
 """Near-duplicate texts by adaptive multi-match prefixes (problem 1).
 
 Texts become sets of distinct word shingles.  All sets share one total order of
-shingles, rarest words first, from word counts over the whole corpus.  For a
+shingles, the rarest first; how often a shingle occurs comes from a count sketch
+over the whole corpus (a fixed number of counters, each an upper bound).  For a
 Jaccard threshold t a set of n shingles needs ``a = ceil(t * n)`` common ones, so
 two similar sets share at least l shingles within their first ``n - a + l``, for
-every l.  Each text emits its prefix for l up to ``MAX_LEVEL``; posting lists
-are counted exactly, postings that stand alone are dropped, and each text then
-chooses the l with the least estimated candidate cost: a longer prefix brings
-more postings but asks for more matches before anything is verified.  A pair is
-a candidate if it shares ``min(l_a, l_b)`` shingles of the prefixes of that
-level.  Candidates are verified on their whole shingle sets, so the result is
-exact.
+every l.  The shorter of the two needs ``ceil(2t / (1 + t) * n)`` common ones, so
+for its role a prefix of that bound is enough.  Each text chooses its l by the estimated cost of its candidates: a
+longer prefix brings more postings but asks for more matches before anything is
+verified.  A pair is a candidate if it shares ``min(l_a, l_b)`` shingles of the
+prefixes of that level.  Candidates are verified on their whole shingle sets, so
+the result is exact whatever the sketch says.
 
 Texts that are equal form one class and go through the join once.  Classes are
 expanded to pairs of ids at the end; of a class of more than ``EXPAND_CLASS``
@@ -38,59 +38,102 @@ from folioforge.plans.session import cut
 MAX_LEVEL = 3
 #: What verifying one candidate costs, in visits of a posting.
 VERIFY_COST = 20.0
-#: log2 of the number of counters for the word statistics (a fixed-size table).
-WORD_BITS = 18
+#: What one more prefix shingle costs, in visits of a posting.
+EMIT_COST = 2.0
+#: log2 of the number of counters of the shingle sketch, and of a block of them.
+SKETCH_BITS, BLOCK_BITS = 24, 12
+#: Sketch counts are kept as eighths of their logarithm to base 2.
+LOG_STEP = 8.0
 #: Ids up to this number (8 bytes each) are broadcast to filter a scan.
 BROADCAST_IDS = 1_000_000
 EXPAND_CLASS = 64
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << WORD_BITS, dtype=np.int64)
-    for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for a, b in tk.slices(texts):
-            hashes, _ = tk.words(texts[a:b])
-            counts += np.bincount((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
-
-
-def word_statistics(texts: DataFrame) -> np.ndarray:
-    """log2 of the occurrences in each of the ``2**WORD_BITS`` word buckets, over all texts."""
-    table = texts.mapInArrow(_word_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << WORD_BITS, dtype=np.float64)
-    out[table.column("bucket").to_numpy()] = np.log2(1.0 + table.column("n").to_numpy())
-    return out
-
-
-def _shingles(texts: list[str], size: int, min_words: int, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, weight) of the distinct shingles of the texts that are long enough, by text and shingle."""
+def _shingles(texts: list[str], size: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of the distinct shingles of the texts that are long enough, sorted."""
     hashes, owner = tk.words(texts)
     enough = np.bincount(owner, minlength=len(texts)) >= min_words
     keys, at = tk.runs(hashes, owner, size)
     keep = enough[owner[at]]
-    keys, at = keys[keep], at[keep]
-    order = np.lexsort((keys, owner[at]))
-    keys, at = keys[order], at[order]
-    own = owner[at]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-    keys, at, own = keys[first], at[first], own[first]
-    if weight is None:
-        return own, keys, np.empty(0)
-    per_word = weight[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-    rank = per_word[at].copy()
-    for k in range(1, size):
-        rank += per_word[at + k]
-    return own, keys, rank
-
-
-def _postings(size: int, threshold: float, min_words: int, weights):
-    """Per distinct text of a partition: its prefix shingles with their levels."""
+    keys, own = tk.distinct_per_text(keys[keep], owner[at][keep])
+    return own, keys
+
+
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch_batches(size: int, min_words: int):
+    """The partition's counters, in compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = weights.value
+        import zstandard
+
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in tk.slices(texts):
+                at, more = np.unique(_counter(_shingles(texts[a:b], size, min_words)[1]), return_counts=True)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + more, 0xFFFF)
+        pack = zstandard.ZstdCompressor(level=1)
+        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([pack.compress(blocks[k].tobytes()) for k in used], pa.binary())], names=["block", "counts"])
+
+    return run
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts = np.frombuffer(unpack.decompress(raw), dtype=np.uint16).astype(np.float64)
+            total[k] = total[k] + counts if k in total else counts
+    logs = [np.minimum(np.round(LOG_STEP * np.log2(1 + c)), 255).astype(np.uint8).tobytes() for c in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(logs, pa.binary())], names=["block", "logs"])
+
+
+def shingle_sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
+    """``LOG_STEP * log2(1 + count)`` of each counter over all texts: 16 MB, whatever the corpus."""
+    parts = texts.mapInArrow(_sketch_batches(size, min_words), "block int, counts binary").repartition("block")
+    table = parts.mapInArrow(_sum_blocks, "block int, logs binary").toArrow()
+    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), dtype=np.uint8)
+    for k, raw in zip(table.column("block").to_pylist(), table.column("logs").to_pylist()):
+        out[k] = np.frombuffer(raw, dtype=np.uint8)
+    return out.ravel()
+
+
+def _prefixes(own: np.ndarray, keys: np.ndarray, texts: int, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, place, depth of its text, size of its text) of the prefix shingles."""
+    log = sketch[_counter(keys)]
+    order = np.lexsort((keys, log, own))
+    own, keys, log = own[order], keys[order], log[order]
+    n = np.bincount(own, minlength=texts)
+    start = np.cumsum(n) - n
+    need = np.ceil(threshold * n - 1e-9).astype(np.int64)
+    place = np.arange(len(own)) - start[own]
+    level = np.maximum(1, place + 1 - (n - need)[own])
+    postings = np.exp2(log / LOG_STEP)
+    traffic = np.bincount(own, weights=np.where(level == 1, postings, 0), minlength=texts)
+    depth, least = np.ones(texts, dtype=np.int64), traffic * (1 + VERIFY_COST)
+    for k in range(2, MAX_LEVEL + 1):
+        traffic = traffic + np.bincount(own, weights=np.where(level == k, postings, 0), minlength=texts)
+        cost = traffic * (1 + VERIFY_COST / k) + EMIT_COST * (k - 1)
+        better = (cost < least) & (need >= k)
+        depth[better], least[better] = k, cost[better]
+    keep = level <= depth[own]
+    own = own[keep]
+    return own, keys[keep], place[keep], depth[own], n[own]
+
+
+def _postings(size: int, threshold: float, min_words: int, sketch):
+    """Per distinct text of a partition: its prefix shingles with their places in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
         seen: set[int] = set()
         for batch in batches:
             docs, texts = [], []
@@ -101,19 +144,11 @@ def _postings(size: int, threshold: float, min_words: int, weights):
                     texts.append(t)
             ids = np.array(docs, dtype=np.int64)
             for a, b in tk.slices(texts):
-                own, keys, rank = _shingles(texts[a:b], size, min_words, weight)
-                order = np.lexsort((keys, rank, own))
-                own, keys = own[order], keys[order]
-                n = np.bincount(own, minlength=b - a)
-                start = np.cumsum(n) - n
-                position = np.arange(len(own)) - start[own]
-                need = np.ceil(threshold * n - 1e-9).astype(np.int64)
-                level = np.maximum(1, position + 1 - (n - need)[own])
-                keep = level <= np.minimum(MAX_LEVEL, np.maximum(need, 1))[own]
-                own, keys, level = own[keep], keys[keep], level[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(ids[a:b][own]), pa.array(n[own] * 4 + level)], names=["token", "doc", "meta"]
-                )
+                own, keys = _shingles(texts[a:b], size, min_words)
+                own, keys, place, depth, n = _prefixes(own, keys, b - a, counts, threshold)
+                # 48 bits are enough to find candidates, and less to shuffle
+                token = (keys >> np.uint64(16)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[a:b][own]), pa.array((n << 32) + (place << 3) + depth)], names=["token", "doc", "meta"])
 
     return run
 
@@ -126,7 +161,7 @@ def _sets(size: int, min_words: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
             for a, b in tk.slices(texts):
-                own, keys, _ = _shingles(texts[a:b], size, min_words, None)
+                own, keys = _shingles(texts[a:b], size, min_words)
                 n = np.bincount(own, minlength=b - a)
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 keep = pa.array(n > 0)
@@ -156,30 +191,29 @@ def _only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, size: int, threshold: float, min_words: int) -> DataFrame:
-    """(a, b) of text classes that share enough of their prefixes; a < b."""
-    weights = texts.sparkSession.sparkContext.broadcast(word_statistics(texts.select("text")))
-    raw = texts.select("doc", "text").mapInArrow(_postings(size, threshold, min_words, weights), "token long, doc long, meta long")
-    shared = raw.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("df") > 1)
-    level = F.col("meta").bitwiseAND(3)
-    per_doc = Window.partitionBy("doc")
-    cost = []
-    for k in range(1, MAX_LEVEL + 1):
-        traffic = F.sum(F.when(level <= k, F.col("df") - 1).otherwise(0)).over(per_doc)
-        matches = F.sum(F.when(level <= k, 1).otherwise(0)).over(per_doc)
-        # fewer shared shingles than the level asks for: the text has no partner at all
-        cost.append(F.when(matches < k, F.lit(-1.0)).otherwise(traffic * (1 + VERIFY_COST / k)))
-    rows = shared.select("token", "doc", (F.shiftright("meta", 2)).alias("n"), level.alias("level"), *[c.alias(f"c{k}") for k, c in enumerate(cost, 1)])
-    least = F.least(*[F.col(f"c{k}") for k in range(1, MAX_LEVEL + 1)])
-    chosen = F.lit(MAX_LEVEL)
-    for k in range(MAX_LEVEL - 1, 0, -1):
-        chosen = F.when(F.col(f"c{k}") == least, k).otherwise(chosen)
-    rows = rows.where(least >= 0).select("token", "doc", "n", "level", chosen.alias("depth")).where(F.col("level") <= F.col("depth"))
-    left = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "level", "depth")])
-    right = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "level", "depth")])
-    met = left.join(right, "token").where(
-        (F.col("doc_a") < F.col("doc_b"))
-        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    """(a, b) of text classes that share enough of their prefixes, the shorter one first."""
+    sketch = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts.select("text"), size, min_words))
+    raw = texts.select("doc", "text").mapInArrow(_postings(size, threshold, min_words, sketch), "token long, doc long, meta long")
+    # most postings stand alone; what is left is joined where it lies
+    rows = (
+        raw.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+        .where(F.col("df") > 1)
+        .select("token", "doc", F.shiftright("meta", 32).alias("n"), F.shiftright("meta", 3).bitwiseAND((1 << 29) - 1).alias("place"), F.col("meta").bitwiseAND(7).alias("depth"))
+    )
+
+    def level(share: float):
+        return F.greatest(F.lit(1), F.col("place") + 1 - F.col("n") + F.ceil(share * F.col("n") - 1e-9))
+
+    both = 2 * threshold / (1 + threshold)
+    short = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "place", "depth")], level(both).alias("level_a")).where(F.col("level_a") <= F.col("depth_a"))
+    long = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "place", "depth")], level(threshold).alias("level_b"))
+    # what can still be common, given where the shared shingle stands in both orders
+    reach = F.least("place_a", "place_b") + 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+    met = short.join(long, "token").where(
+        ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b"))))
+        & (F.col("n_a") >= threshold * F.col("n_b") - 1e-9)
         & (F.greatest("level_a", "level_b") <= F.least("depth_a", "depth_b"))
+        & (reach >= both / 2 * (F.col("n_a") + F.col("n_b")) - 1e-9)
     )
     return (
         met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
@@ -194,7 +228,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def similar_texts(texts: DataFrame, size: int, threshold: float, min_words: int) -> DataFrame:
-    """(a, b, similarity) of different texts, by class key; a < b.  ``texts`` has (doc, text)."""
+    """(a, b, similarity) of different texts, by class key, each pair once.  ``texts`` has (doc, text)."""
     pairs = cut(_candidates(texts, size, threshold, min_words), "pairs")
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     wanted = _only(texts.select("doc", "text"), ends, "doc").mapInArrow(_sets(size, min_words), "doc long, shingles array<bigint>").dropDuplicates(["doc"])
