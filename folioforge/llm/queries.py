@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import hashknn, leakage, mojibake, neardup, residue, sitelines, splitting, tokenise
+from folioforge.llm import boilerplate, hashknn, leakage, mojibake, neardup, residue, sitelines, splitting, tokenise
 from folioforge.plans.session import table
 
 
@@ -20,6 +20,14 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "document_segments"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_previews(table(spark, sf_dir, "scraping_analysis_results")).select("analysis_id")
 
@@ -78,7 +86,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_kinds": p3_kinds, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_kinds": p3_kinds, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 _P1 = """
