@@ -8,8 +8,10 @@ executors, so a lost executor costs a re-read, never a lost result.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,15 @@ def discard(df: DataFrame | None) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_folio_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    # served by the driver; executors fetch it from there
+    archive = shutil.make_archive(tempfile.mkdtemp(prefix="folioforge-code-") + "/folioforge", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._folio_shipped = True
