@@ -156,7 +156,7 @@ def section_packs(segments: DataFrame, size: int) -> DataFrame:
         )
 
     packed = per_doc.select("document_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select("document_id", F.col("o.id").alias("id"), F.col("o.chunk").alias("chunk_number"))
-    order = Window.partitionBy("document_id", "chunk_number").orderBy("section_path", "id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("document_id", "chunk_number").orderBy(F.coalesce("section_path", F.lit("")), "id", "n").rowsBetween(Window.unboundedPreceding, -1)
     return packed.join(lengths, ["document_id", "id"]).select(
         "document_id", "id", "section_path", "chunk_number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), (F.coalesce(F.sum("n").over(order), F.lit(0)) + F.col("n")).alias("end")
     )
