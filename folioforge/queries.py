@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import extract, freshness, text, urls
-from folioforge.operators import catalog, chunking, crossrefs, hierarchy, search, sections, vector
+from folioforge.functions import extract, freshness, html, text, urls
+from folioforge.operators import catalog, chunking, crossrefs, hierarchy, mutations, search, sections, suggest, summarise, vector, versions
 from folioforge.plans.session import table
+from folioforge.sources import llms, store
+from folioforge.streaming import rates
 
 AS_OF = "2025-01-01 00:00:00"
 TERMS = "nightly transport settings"
@@ -396,9 +398,6 @@ def context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.coverage(table(spark, sf_dir, "document_segments"))
 
 
-_AGE = f"epoch(TIMESTAMP '{AS_OF}') - epoch({{0}}::TIMESTAMP)"
-
-
 def _sql_seconds(column: str) -> str:
     return f"(floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(timezone('UTC', {column}))))"
 
@@ -646,6 +645,220 @@ def link_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("url").isNotNull()).select("doc_id", urls.link_decision(F.col("url"), base, 2).alias("d")).select("doc_id", "d.*")
 
 
+# ---- pages
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "documents").where(F.col("html_path").isNotNull()).groupBy("html_path").agg(F.min("url").alias("url"))
+    return html.pages(table(spark, sf_dir, "raw_pages").join(paths, "html_path", "left").select("page_id", "url", "html").distinct())
+
+
+@register()
+def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, metadata, kind of site, headings, code, tables and Markdown of each stored page."""
+    return _pages(spark, sf_dir)
+
+
+@register()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.posexplode("links").alias("position", "link"))
+
+
+@register()
+def page_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.posexplode("codes").alias("position", "c")).select("page_id", "position", "c.language", "c.code")
+
+
+@register("SELECT DISTINCT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM raw_pages WHERE html IS NOT NULL")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.btrim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return table(spark, sf_dir, "raw_pages").where(F.col("html").isNotNull()).select("page_id", title.alias("title")).distinct()
+
+
+@register(
+    """SELECT DISTINCT analysis_id, requests.status_code AS status_code, extraction.detected_type AS detected_type, round(extraction.detection_confidence, 6) AS confidence, len(requests.headings) AS headings
+FROM scraping_analysis_results WHERE requests.error IS NULL"""
+)
+def analysis_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "scraping_analysis_results").where(F.col("requests.error").isNull())
+    size = F.when(F.col("requests.headings").isNotNull(), F.size("requests.headings")).cast("long")
+    return rows.select("analysis_id", "requests.status_code", "extraction.detected_type", F.round("extraction.detection_confidence", 6).alias("confidence"), size.alias("headings")).distinct()
+
+
+@register("SELECT extraction.detected_type AS kind, count(DISTINCT analysis_id) AS analyses, sum(CASE WHEN extraction.has_code_examples THEN 1 ELSE 0 END)::BIGINT AS with_code FROM (SELECT DISTINCT * FROM scraping_analysis_results) GROUP BY 1")
+def analysis_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "scraping_analysis_results").distinct()
+    return rows.groupBy(F.col("extraction.detected_type").alias("kind")).agg(F.count_distinct("analysis_id").alias("analyses"), F.sum(F.when(F.col("extraction.has_code_examples"), 1).otherwise(0)).alias("with_code"))
+
+
+# ---- suggestions and summaries
+
+
+@register(
+    """WITH s AS (SELECT DISTINCT document_id, id AS segment_id, content FROM document_segments WHERE contains(content, 'collector')),
+n AS (SELECT document_id, segment_id, unnest(regexp_extract_all(content, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) AS identifier FROM s),
+f AS (SELECT * FROM n WHERE identifier NOT IN ('if', 'for', 'while', 'with', 'collector') AND length(identifier) > 2), t AS (SELECT identifier, count(*) AS times FROM f GROUP BY 1)
+SELECT DISTINCT identifier, document_id, segment_id, least(1.0, 0.5 + times * 0.1)::DOUBLE AS score FROM f JOIN t USING (identifier)"""
+)
+def suggest_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.co_occurring(_contents(spark, sf_dir), "collector")
+
+
+def _category_sql() -> str:
+    parts = []
+    for category in suggest.task_categories("load a config file"):
+        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in suggest.TASK_WORDS[category])
+        parts.append(f"SELECT '{category}' AS category, id, ({hits})::INT AS match_count FROM s")
+    return f"""WITH s AS (SELECT DISTINCT id, lower(concat_ws(' ', content, section_title)) AS low FROM document_segments), m AS ({" UNION ALL ".join(parts)})
+SELECT category, id, match_count FROM m WHERE match_count > 0 QUALIFY row_number() OVER (PARTITION BY category ORDER BY match_count DESC, id) <= 25"""
+
+
+@register(_category_sql())
+def suggest_category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "document_segments").select("id", "content", "section_title").distinct()
+    return suggest.category_matches(segments, suggest.task_categories("load a config file"), 25)
+
+
+@register()
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names like readCollector among the called names, with the opposite of each."""
+    names = _contents(spark, sf_dir).select(F.explode(extract.called_names(F.col("content"))).alias("identifier"))
+    return suggest.similar_names(names, "readCollector").select("identifier", F.round("score", 6).alias("score"), suggest.paired_name(F.col("identifier")).alias("opposite"))
+
+
+def _summary_sql() -> str:
+    parts = []
+    for category, words in summarise.SUMMARY_WORDS.items():
+        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in words)
+        parts.append(f"SELECT document_id, '{category}' AS category, id, ({hits})::INT AS matches FROM s")
+    return f"""WITH s AS (SELECT DISTINCT id, document_id, lower(concat_ws(' ', content, section_title)) AS low FROM document_segments), m AS ({" UNION ALL ".join(parts)})
+SELECT document_id, category, id, matches FROM m WHERE matches > 0 QUALIFY row_number() OVER (PARTITION BY document_id, category ORDER BY matches DESC, id) <= 3"""
+
+
+@register(_summary_sql())
+def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise.section_summary(table(spark, sf_dir, "document_segments").select("id", "document_id", "content", "section_title").distinct())
+
+
+@register()
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise.summaries(_texts(spark, sf_dir))
+
+
+@register()
+def usage_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise.usage_patterns(summarise.summaries(_texts(spark, sf_dir)))
+
+
+@register()
+def relevant_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise.relevant_snippets(table(spark, sf_dir, "document_segments"), ["collector", "nightly"])
+
+
+@register(
+    """SELECT doc_id AS document_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\*\\*([^*\\n]+)\\*\\*', 1), regexp_extract_all(text, '`([A-Za-z_][\\w.]*)`', 1)))) AS concepts FROM documents WHERE text IS NOT NULL"""
+)
+def key_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).where(F.col("text").isNotNull()).select("document_id", extract.key_concepts(F.col("text")).alias("concepts"))
+
+
+@register("SELECT DISTINCT id, regexp_replace(regexp_replace(content, '(?i)\\b(collector)\\b', '**\\1**', 'g'), '(?i)\\b(nightly)\\b', '**\\1**', 'g') AS content FROM document_segments WHERE contains(lower(content), 'collector')")
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "document_segments").where(F.contains(F.lower("content"), F.lit("collector")))
+    return rows.select("id", text.highlight(F.col("content"), ["collector", "nightly"]).alias("content")).distinct()
+
+
+# ---- versions, exports, changes
+
+
+@register()
+def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.differences(versions.consecutive(table(spark, sf_dir, "documents")))
+
+
+@register(
+    """WITH v AS (SELECT doc_id, regexp_extract(version, '^v?(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?$', ['a', 'b', 'c']) AS m FROM documents), n AS (SELECT doc_id, try_cast(m.a AS INT) AS a, coalesce(try_cast(m.b AS INT), 0) AS b, coalesce(try_cast(m.c AS INT), 0) AS c FROM v)
+SELECT doc_id, unnest([concat_ws('.', a, b, c + 1), concat_ws('.', a, b + 1, 0), concat_ws('.', a + 1, 0, 0)]) AS candidate FROM n WHERE a IS NOT NULL"""
+)
+def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.next_versions(table(spark, sf_dir, "documents"))
+
+
+@register("SELECT doc_id, nullif(regexp_extract(url, '/v?(\\d+\\.\\d+(?:\\.\\d+)?)(?:/|$)', 1), '') AS number FROM documents WHERE regexp_matches(url, '/v?(\\d+\\.\\d+(?:\\.\\d+)?)(?:/|$)')")
+def url_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where(F.col("url").rlike(r"/v?(\d+\.\d+(?:\.\d+)?)(?:/|$)"))
+    return rows.select("doc_id", urls.url_version(F.col("url")).alias("number"))
+
+
+@register("SELECT doc_id, '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '') AS body FROM documents")
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.export_rows(table(spark, sf_dir, "documents"), "markdown")
+
+
+@register()
+def export_llms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An llms.txt for each library."""
+    named = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "libraries").select(F.col("id").alias("library_id"), "name"), "library_id")
+    return llms.render(named.where(F.col("url").isNotNull()).select("name", "doc_id", "title", "url", F.lit(None).cast("string").alias("description")), "name")
+
+
+@register("SELECT doc_id, version FROM documents WHERE url IS NULL OR version IS NULL UNION ALL SELECT doc_id, version FROM documents WHERE url IS NOT NULL AND version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, version ORDER BY scraped_at DESC NULLS LAST, doc_id DESC) = 1")
+def ingested_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the earlier ingests of the same URL and version."""
+    documents = table(spark, sf_dir, "documents")
+    keyed = F.col("url").isNotNull() & F.col("version").isNotNull()
+    kept = mutations.keep_latest(documents.where(keyed), ["url", "version"], [F.desc_nulls_last("scraped_at"), F.desc("doc_id")])
+    return kept.unionByName(documents.where(~keyed)).select("doc_id", "version")
+
+
+@register("SELECT DISTINCT s.id FROM document_segments s WHERE s.document_id NOT IN (SELECT doc_id FROM documents WHERE is_library_doc)")
+def segments_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment ids left when the library documents are deleted with their children."""
+    documents = table(spark, sf_dir, "documents")
+    left = mutations.delete_documents({"segments": table(spark, sf_dir, "document_segments")}, documents.where("is_library_doc").select(F.col("doc_id").alias("document_id")), {"segments": "document_id"})
+    return left["segments"].select("id").distinct()
+
+
+@register("SELECT DISTINCT id, coalesce(section_title, CASE WHEN regexp_matches(lower(coalesce(segment_type, '')), '^h[1-6]$') THEN content ELSE 'Introduction' END) AS section_title, coalesce(section_path, position::VARCHAR) AS section_path, coalesce(section_level, 1) AS section_level FROM document_segments")
+def segment_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.with_segment_defaults(table(spark, sf_dir, "document_segments")).select("id", "section_title", "section_path", "section_level").distinct()
+
+
+# ---- requests
+
+
+@register(
+    """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS minute_count,
+count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS hour_count FROM events"""
+)
+def rate_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.window_counts(table(spark, sf_dir, "events"), "user_id").select("event_id", "minute_count", "hour_count")
+
+
+@register("SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.per_minute(table(spark, sf_dir, "events")).select(F.col("minute").cast("timestamp_ntz").alias("minute"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.sessions(table(spark, sf_dir, "events"), "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def event_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.timings(table(spark, sf_dir, "events")).select("event_type", "n", F.round("total", 4).alias("total"), "least", "most", F.round("mean", 6).alias("mean"))
+
+
+@register("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in REGISTRY.items()}
 
