@@ -61,6 +61,9 @@ PAIRS = (
 LIKELY = ((0xA0, 0x17F), (0x384, 0x3CE), (0x400, 0x45F), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x21FF), (0x2200, 0x22FF), (0x2500, 0x25FF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF), (0x1F300, 0x1FAFF))
 COST = np.array([ENTER if true == "utf-8" else ENTER_WORDS for true, _ in PAIRS])
 
+#: Originals that don't stand alone among letters: signs of East Asian scripts (first, last).
+NEVER_ALONE = ((0x3000, 0x9FFF), (0xFF00, 0xFFEF))
+
 LOST = "�"
 #: U+FFFD twice in UTF-8, read as GBK.
 LOST_GBK = "锟斤拷"
@@ -189,6 +192,7 @@ class Batch:
             longer = start & (length > k)
             spent[longer] += logp[self.points[self.at[longer] + k]]
         score[start] = logp[original[start]] - spent[start] - np.where(likely[original[start]], 0.0, UNLIKELY)
+        score[start & self._alone(original, length)] -= UNLIKELY
         score[inside] = 0.0
         if pair[1] in ("cp850", "cp437"):
             score[start & self._drawn(start, inside, length)] = -FOREIGN
@@ -207,6 +211,17 @@ class Batch:
         score[final] += WHOLE
         return score, gap, inside, end
 
+    def _alone(self, original: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Sequences of an East Asian sign with no other right before or after it."""
+        kind = np.zeros(len(self.at), dtype=bool)
+        for a, b in NEVER_ALONE:
+            kind |= (original >= a) & (original <= b)
+        starts = np.zeros(len(self.points) + 8, dtype=bool)
+        ends = np.zeros(len(self.points) + 8, dtype=bool)
+        starts[self.at[kind]] = True
+        ends[(self.at + length)[kind]] = True
+        return kind & ~starts[self.at + length] & ~ends[self.at]
+
     def _drawn(self, start: np.ndarray, inside: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Starts next to a box-drawing character outside of any sequence: a drawing, not text."""
         box = (self.points >= 0x2500) & (self.points <= 0x257F)

@@ -2,7 +2,8 @@
 
 Character n-gram models of filler, unfilled placeholders, error notices and
 script notices are fitted on written examples with varied slots; the model of
-natural prose is fitted on all texts of the table.  Every position of a text has
+natural prose is fitted on all texts of the table but those that consist mostly
+of what the examples hold.  Every position of a text has
 a log likelihood ratio of each residue model against prose; where its mean over a
 window is above a threshold the text is residue.  A text is excluded when the
 residue covers enough of it; a text that explains placeholders, errors or
@@ -24,6 +25,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,20 @@ from pyspark.sql import functions as F
 
 GRAM = 5
 TABLE_BITS = 18
+#: Texts with this share of grams that occur in the examples don't count as prose.
+EXAMPLE_SHARE = 0.7
 #: Floor of a frequency: a gram that neither model knows says nothing.
 FLOOR = 2e-6
 CLIP = 4.0
 HALF_WINDOW = 12
 WINDOW_MEAN = 0.35
 #: Share of a text that residue must cover.
-COVERAGE = 0.38
+COVERAGE = 0.25
 #: The same for placeholders, by shape, and the characters one must cover.
 SHAPE_HALF_WINDOW, SHAPE_MEAN, SHAPE_CHARS = 2, 1.2, 5
+DELIMITERS = "{}[]<>%@_$"
 #: The same for placeholders that are words.
-NAMED_CHARS = 12
+NAMED_HALF_WINDOW, NAMED_CHARS = 4, 10
 SEED_COPIES = 6
 
 _SLOT_WORDS = (
@@ -54,10 +59,10 @@ _SLOT_WORDS = (
 ).split()
 _STYLES = (
     "{{ a.b }}", "{{a_b}}", "{{ a }}", "{a_b}", "{a}", "${a.b}", "${a_b}", "#{a.b}", "<%= a.b %>", "<%= a_b %>", "@@A:B@@", "@@a:b@@", "%%A_B%%", "%%a_b%%", "__A_B__", "__a_b__",
-    "[[a-b]]", "[[a_b]]", "<your-a-b>", "<a_b>", "{% block a_b %}", "%(a)s", "[INSERT a b HERE]", "[INSERT A B HERE]", "[% a.b %]", "((a_b))",
+    "[[a-b]]", "[[a_b]]", "<your-a-b>", "<a_b>", "{% block a_b %}", "%(a)s", "[INSERT a b HERE]", "[INSERT A B HERE]", "[% a.b %]",
 )
 #: Placeholders that are words; these are found by their letters.
-_NAMED_STYLES = ("TODO: fill in a b", "[INSERT a b HERE]", "[INSERT A B HERE]", "TODO: add a b", "[insert a b here]")
+_NAMED_STYLES = ("TODO: fill in ", "TODO: add ", "TODO: write ", "TBD: fill in ")
 _PLACEHOLDER = (
     "Welcome to P, the home of P. Updated P.", "P\nP\nWelcome to P, the home of P. Updated P.", "Guide for P\n\nIn this guide you learn how q P works with P.", "Dear P, the q of P is ready.", "P", "P\nP\nP",
     "P - Q q q | P\nThe q q q. ", "Price: P per q\nContact: P", "Q q: P q\nQ: P", "The q of P is called P.", "the q P and P (P), see P; q.", "Q P q, P.",
@@ -157,13 +162,27 @@ def frequencies(texts: list[str]) -> np.ndarray:
     return np.bincount(keys, minlength=1 << TABLE_BITS) / max(len(keys), 1)
 
 
+@lru_cache(maxsize=1)
+def _example_grams() -> np.ndarray:
+    """True at each gram of the residue examples that are letters."""
+    examples = seeds()
+    return frequencies([normalise(t) for k, v in examples.items() if k != "placeholder" for t in v]) > 0
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int64)
+    known = _example_grams()
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a in range(0, len(texts), 2_000):
-            for k, form in enumerate((normalise, shape)):
-                counts[k] += np.bincount(grams([form(t) for t in texts[a : a + 2_000]])[0], minlength=counts.shape[1])
+            part = texts[a : a + 2_000]
+            plain = [normalise(t) for t in part]
+            keys, owner = grams(plain)
+            size = np.bincount(owner, minlength=len(part))
+            prose = np.bincount(owner, weights=known[keys], minlength=len(part)) < EXAMPLE_SHARE * np.maximum(size, 1)
+            counts[0] += np.bincount(keys[prose[owner]], minlength=counts.shape[1])
+            if prose.any():
+                counts[1] += np.bincount(grams([shape(t) for t, ok in zip(part, prose) if ok])[0], minlength=counts.shape[1])
     form, at = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(form.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[form, at])], names=["form", "gram", "n"])
 
@@ -216,11 +235,15 @@ def judge(text: str, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[s
     size = max(weight.sum(), 1.0)
     share = (hot * weight).sum(axis=1) / size
     named = names.index("named")
-    spans = [covered(shape(text), shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)[0], hot[named]]
+    form = shape(text)
     longest = [0, 0]
-    for k, span in enumerate(spans):
+    near = covered(plain, letters[named : named + 1], NAMED_HALF_WINDOW, SHAPE_MEAN)[0]
+    for k, span in enumerate((covered(form, shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)[0], near)):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], span.view(np.int8), [0]))))
-        longest[k] = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
+        for a, b in zip(edge[::2], edge[1::2]):
+            # a placeholder by shape has an opening and a closing sign
+            if k or sum(form.count(c, a, b) for c in DELIMITERS) >= 2:
+                longest[k] = max(longest[k], int(b - a))
     left_over = max(longest[0], longest[1] if longest[1] >= NAMED_CHARS else 0)
     kind = "placeholder" if left_over >= SHAPE_CHARS else names[int(np.argmax(share))].replace("named", "placeholder")
     return kind, float((hot.any(axis=0) * weight).sum() / size), left_over
