@@ -114,6 +114,39 @@ def stream_spans(text: str, size: int, overlap: int, natural: bool = True) -> li
     return spans
 
 
+def index_spans(text: str, chars: int = 500, words: int = 50) -> list[tuple[int, int]]:
+    """Runs of whole lines of more than ``chars`` characters and ``words`` words; a blank rest is dropped."""
+    spans: list[tuple[int, int]] = []
+    begin = at = seen = 0
+    for line in text.split("\n"):
+        at += len(line) + 1
+        seen += len(line.split())
+        if at - begin > chars and seen > words:
+            spans.append((begin, at))
+            begin, seen = at, 0
+    if text[begin:].strip():
+        spans.append((begin, len(text)))
+    return [(a, min(b, len(text))) for a, b in spans]
+
+
+def sized_spans(text: str, size: int = 8_000) -> list[tuple[int, int]]:
+    """Packed paragraphs; one that is still too long is packed from its sentences."""
+    out: list[tuple[int, int]] = []
+    for a, b in paragraph_spans(text, size) if len(text) > size else [(0, len(text))]:
+        begin = at = a
+        if b - a > size:
+            for m in re.finditer(r"\. ", text[a:b]):
+                if a + m.end() - begin > size and at > begin:
+                    out.append((begin, at))
+                    begin = at
+                at = a + m.end()
+            if b - begin > size and at > begin:
+                out.append((begin, at))
+                begin = at
+        out.append((begin, b))
+    return out
+
+
 def _span_batches(strategy: str, spans: Callable[[str], list[tuple[int, int]]], strip: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
@@ -129,8 +162,8 @@ def _span_batches(strategy: str, spans: Callable[[str], list[tuple[int, int]]],
 
 
 def text_chunks(documents: DataFrame, strategy: str, size: int, overlap: int = 0) -> DataFrame:
-    """Chunks of (document_id, text) by ``paragraph``, ``semantic`` or ``stream``; empty and null texts give none."""
-    spans = {"paragraph": lambda t: paragraph_spans(t, size), "semantic": lambda t: semantic_spans(t, size), "stream": lambda t: stream_spans(t, size, overlap)}[strategy]
+    """Chunks of (document_id, text) by ``paragraph``, ``semantic``, ``stream``, ``index`` or ``sized``; empty and null texts give none."""
+    spans = {"index": lambda t: index_spans(t, size), "sized": lambda t: sized_spans(t, size), "paragraph": lambda t: paragraph_spans(t, size), "semantic": lambda t: semantic_spans(t, size), "stream": lambda t: stream_spans(t, size, overlap)}[strategy]
     full = documents.where(F.length("text") > 0).select("document_id", "text")
     return full.mapInPandas(_span_batches(strategy, spans, strategy == "semantic"), CHUNK_SCHEMA)
 

@@ -1,11 +1,17 @@
 """Exact vector search: cosine and Euclidean distance, top-k, filtered and batched.
 
-Distances are JVM expressions over array columns, so a search is a projection
-and a TakeOrdered; nothing but the query vectors is ever broadcast.
+For one query the distance is a JVM expression over the array column, so a search
+is a projection and a TakeOrdered.  Many queries are matrix products over Arrow
+batches; nothing but the query vectors is ever broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +47,51 @@ def knn(vectors: DataFrame, query: list[float], k: int, measure: str = "cosine",
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 1_000) -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest rows to each query; queries are (query_id, query).
-
-    Each block of at most ``max_queries`` queries is broadcast against one scan
-    of the vectors; a partition keeps k rows per query before the shuffle.
+def _block_batches(block, k: int):
+    """The k best rows of this partition for every query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = block.value
+        width = queries.shape[1]
+        top = np.full((len(ids), k), -np.inf)
+        who = np.zeros((len(ids), k), dtype=np.int64)
+        for batch in batches:
+            rows = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), width))
+            if not rows.num_rows:
+                continue
+            base = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            norm = np.linalg.norm(base, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = queries @ base.T / norm
+            score = np.concatenate((top, np.where(np.isfinite(score), score, -np.inf)), axis=1)
+            names = np.concatenate((who, np.broadcast_to(rows.column("id").to_numpy(), (len(ids), len(base)))), axis=1)
+            # ties go to the smaller id
+            best = np.lexsort((names, -score), axis=1)[:, :k]
+            top, who = np.take_along_axis(score, best, 1), np.take_along_axis(names, best, 1)
+        keep = np.isfinite(top).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[keep]), pa.array(who.ravel()[keep]), pa.array(top.ravel()[keep])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 2_000) -> DataFrame:
+    """(query_id, id, score, rank) of the k nearest rows to each query by cosine; queries are (query_id, query).
+
+    A block of at most about ``max_queries`` queries is one matrix product per
+    Arrow batch; a partition sends k rows per query to the shuffle, whatever its
+    size.  Null and zero vectors and other widths than a query's are left out.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // max_queries))
+    spark = vectors.sparkSession
+    blocks = max(1, -(-queries.count() // max_queries))
+    out = spark.createDataFrame([], "query_id long, id long, score double")
+    for number in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select(F.col("query_id").cast("long"), "query").collect()
+        for width in sorted({len(r["query"]) for r in rows if r["query"]}):
+            part = [r for r in rows if r["query"] and len(r["query"]) == width and any(r["query"])]
+            if part:
+                matrix = np.array([r["query"] for r in part], dtype=np.float64)
+                matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+                block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part], dtype=np.int64), matrix))
+                out = out.unionByName(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(_block_batches(block, k), "query_id long, id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = None
-    for block in range(blocks):
-        part = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
-        scored = vectors.join(part).withColumn("score", cosine(F.col("embedding"), F.col("query"))).where(F.col("score").isNotNull()).select("query_id", "id", "score")
-        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

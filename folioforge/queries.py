@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import extract, freshness, html, text, urls
-from folioforge.operators import catalog, chunking, crossrefs, hierarchy, mutations, search, sections, suggest, summarise, vector, versions
+from folioforge.functions import checks, extract, freshness, html, labels, text, urls
+from folioforge.operators import catalog, chunking, crawl, crossrefs, hierarchy, lookups, mutations, search, sections, suggest, summarise, vector, versions
 from folioforge.plans.session import table
 from folioforge.sources import llms, store
 from folioforge.streaming import rates
@@ -691,6 +691,59 @@ def analysis_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("extraction.detected_type").alias("kind")).agg(F.count_distinct("analysis_id").alias("analyses"), F.sum(F.when(F.col("extraction.has_code_examples"), 1).otherwise(0)).alias("with_code"))
 
 
+@register()
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content scores of the stored pages and how deep a crawl would go on from them."""
+    rows = table(spark, sf_dir, "raw_pages").where(F.col("html").isNotNull()).select("page_id", crawl.content_scores(F.col("html")).alias("s")).distinct()
+    return rows.select("page_id", F.round("s.code_density", 6).alias("code_density"), "s.api_indicators", F.round("s.navigation_ratio", 6).alias("navigation_ratio"), F.round("s.overall", 6).alias("overall"), crawl.depth_after(F.col("s.overall"), 2).alias("depth"))
+
+
+@register()
+def links_to_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the stored pages that a crawl would follow and that no document has yet."""
+    links = _pages(spark, sf_dir).where(F.col("url").isNotNull()).select(F.col("url").alias("page"), F.posexplode("links").alias("position", "link"))
+    return crawl.next_links(links, table(spark, sf_dir, "documents").select("url"), 2, per_page=20)
+
+
+def _kinds_sql(rules, start: int) -> str:
+    low = f"lower(concat_ws(chr(10), section_title, content[1:{start}]))"
+    cases = ", ".join(f"CASE WHEN {' OR '.join(f'contains({low}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}' END" for name, words in rules)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
+
+
+@register(f"SELECT DISTINCT id, {_kinds_sql(labels.CONTENT_KINDS, 500)} AS kinds, {_kinds_sql(labels.COMPLEXITY, 500)} AS levels, {_sql_label('section_title', labels.SECTION_TYPES, 'NULL')} AS section_type FROM document_segments")
+def content_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title, content = F.col("section_title"), F.col("content")
+    rows = table(spark, sf_dir, "document_segments")
+    return rows.select("id", F.array_join(labels.content_kinds(title, content), ",").alias("kinds"), F.array_join(labels.complexity_levels(title, content), ",").alias("levels"), labels.section_type(title).alias("section_type")).distinct()
+
+
+@register("SELECT id, coalesce(nullif(regexp_extract(doc_url, 'v(\\d+\\.\\d+\\.\\d+)', 1), ''), nullif(regexp_extract(doc_url, '(\\d+\\.\\d+\\.\\d+)', 1), ''), nullif(regexp_extract(doc_url, '(\\d+\\.\\d+)', 1), ''), 'latest') AS documented FROM libraries")
+def documented_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "libraries").select("id", labels.documented_version(F.col("doc_url")).alias("documented"))
+
+
+@register()
+def fetchable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", checks.fetchable(F.col("url"), ["test"]).alias("fetchable"))
+
+
+@register("SELECT id, section_path, position FROM document_segments WHERE document_id = 1 QUALIFY row_number() OVER (PARTITION BY id) = 1")
+def segments_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.segments_of(table(spark, sf_dir, "document_segments"), 1).select("id", "section_path", "position")
+
+
+@register("SELECT d.doc_id FROM documents d WHERE url = (SELECT min(url) FROM documents) ORDER BY doc_id LIMIT 1")
+def document_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lookups.document_by_url(documents, documents.agg(F.min("url")).first()[0]).select("doc_id")
+
+
+@register()
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.text_chunks(_texts(spark, sf_dir), "index", 500)
+
+
 # ---- suggestions and summaries
 
 
