@@ -64,12 +64,12 @@ def _sizes_upward(links: DataFrame) -> tuple[DataFrame, int]:
         new = cut(
             moved.unionByName(state.where(F.col("done"))).join(given, "id", "left").select("id", "anc", "dist", "done", (F.col("sz") + F.coalesce("more", F.lit(0))).alias("sz")),
             "up",
+            {"done": F.count_if("done"), "all": F.count(F.lit(1))},
         )
         discard(state)
-        state, before = new, done
-        counts = state.agg(F.count_if("done").alias("d"), F.count(F.lit(1)).alias("n")).first()
-        done, rounds = counts["d"], rounds + 1
-        if done == counts["n"] or (done == before):
+        state, before, rounds = new, done, rounds + 1
+        done = state._folio_measures["done"]
+        if done in (state._folio_measures["all"], before):
             return state, rounds
 
 
@@ -97,18 +97,18 @@ def _ranges_downward(sizes: DataFrame, links: DataFrame, rounds: int, with_path:
             .join(far, "anc")
             .select("id", "size", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("lo") + F.col("lo2")).alias("lo"), F.col("done2").alias("done"), *[F.concat("path2", "path").alias("path") for _ in extra])
         )
-        new = cut(moved.unionByName(state.where(F.col("done"))), "down")
+        new = cut(moved.unionByName(state.where(F.col("done"))), "down", {"open": F.count_if(~F.col("done"))})
         discard(state)
         state = new
-        if state.where(~F.col("done")).limit(1).count() == 0:
+        if not state._folio_measures["open"]:
             break
     return state.select("id", F.col("anc").alias("root_id"), F.col("dist").alias("depth"), "size", "lo", *extra)
 
 
 def _loops(sizes: DataFrame, links: DataFrame) -> DataFrame | None:
     """(id, root_id) of the nodes that the upward sweep left unprocessed."""
-    state = cut(sizes.where(~F.col("done")).select("id", "anc"), "loop")
-    if state.limit(1).count() == 0:
+    state = cut(sizes.where(~F.col("done")).select("id", "anc"), "loop", {"n": F.count(F.lit(1))})
+    if not state._folio_measures["n"]:
         discard(state)
         return None
     # f**n maps the nodes into the loops once its image stops shrinking
@@ -123,8 +123,8 @@ def _loops(sizes: DataFrame, links: DataFrame) -> DataFrame | None:
     changed = 1
     while changed:
         far = low.select(F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
-        new = cut(low.join(far, "nxt").select("id", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")), "low")
-        changed = new.where("fell").limit(1).count()
+        new = cut(low.join(far, "nxt").select("id", F.col("nxt2").alias("nxt"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")), "low", {"fell": F.count_if("fell")})
+        changed = new._folio_measures["fell"]
         discard(low)
         low = new.drop("fell")
         low._folio_path = new._folio_path

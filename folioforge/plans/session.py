@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -51,15 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so its lineage ends here."""
+def cut(df: DataFrame, label: str = "step", measure: dict[str, Column] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so its lineage ends here.
+
+    ``measure`` names aggregates that are taken while it's written; they are in
+    ``_folio_measures`` of the result and cost no further job.
+    """
     path = f"{shared_dir(df.sparkSession)}/folioforge-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if measure else None
+    out = df.observe(seen, *[c.alias(k) for k, c in measure.items()]) if measure else df
+    out.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._folio_path = path
+    back._folio_measures = seen.get if seen else {}
+    _written.append(path)
     return back
 
 
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote in this process, once no result that reads them is needed; how many there were."""
+    paths, _written[:] = list(_written), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``cut`` that no later plan reads."""
     path = getattr(df, "_folio_path", None)
