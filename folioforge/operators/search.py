@@ -26,8 +26,12 @@ class SearchOptions:
 
 
 def segment_view(segments: DataFrame, documents: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
-    """Segments beside their document (and library), each row once."""
-    seg = segments.select("id", "document_id", "content", "section_title", "section_path", "section_level", "segment_type", "position").distinct()
+    """Segments beside their document (and library).
+
+    Copies of a row stay here, since telling them apart would shuffle every
+    content; the searches below keep one row of each section anyway.
+    """
+    seg = segments.select("id", "document_id", "content", "section_title", "section_path", "section_level", "segment_type", "position")
     doc = documents.select(F.col("doc_id").alias("document_id"), "title", "url", "version", "library_id", "is_library_doc", "scraped_at", "updated_at")
     view = seg.join(doc, "document_id")
     if libraries is not None:

@@ -21,8 +21,12 @@ def depth(path: Column) -> Column:
 
 
 def titled(segments: DataFrame) -> DataFrame:
-    """(id, document_id, section_title, section_path, section_level, position, content) of segments with a title and a path, each once."""
-    return segments.where(F.col("section_title").isNotNull() & (F.col("section_path") != "")).select("id", "document_id", "section_title", "section_path", "section_level", "position", "content").distinct()
+    """(id, document_id, section_title, section_path, section_level, position, content) of segments with a title and a path, each id once.
+
+    Only the columns that a plan goes on to use take part in the shuffle.
+    """
+    found = segments.where(F.col("section_title").isNotNull() & (F.col("section_path") != ""))
+    return found.select("id", "document_id", "section_title", "section_path", "section_level", "position", "content").dropDuplicates(["id"])
 
 
 def toc(sections: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -33,15 +33,20 @@ def euclid(a: Column, b: Column) -> Column:
 
 
 def vectors_of(segments: DataFrame, width: int = 64) -> DataFrame:
-    """(id, document_id, embedding) of the segments with a vector of this width, each once."""
-    return segments.where(F.size("embedding") == width).select("id", "document_id", "embedding").distinct()
+    """(id, document_id, embedding) of the segments with a vector of this width; copies of a row stay."""
+    return segments.where(F.size("embedding") == width).select("id", "document_id", "embedding")
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, measure: str = "cosine", min_score: float | None = None) -> DataFrame:
-    """The k nearest rows to one vector with ``score``: cosine, or 1 / (1 + distance) for ``l2``."""
+    """The k nearest rows to one vector with ``score``: cosine, or 1 / (1 + distance) for ``l2``.
+
+    Copies of a row count once; they are told apart by id and score, so no
+    vector is shuffled.
+    """
     literal = F.array(*[F.lit(float(x)) for x in query])
     score = cosine(F.col("embedding"), literal) if measure == "cosine" else 1 / (1 + euclid(F.col("embedding"), literal))
     scored = vectors.withColumn("score", score).where(F.col("score").isNotNull()).drop("embedding")
+    scored = scored.distinct()
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return scored.orderBy(F.desc("score"), "id").limit(k)
@@ -92,6 +97,6 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int =
                 matrix = np.array([r["query"] for r in part], dtype=np.float64)
                 matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
                 block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part], dtype=np.int64), matrix))
-                out = out.unionByName(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(_block_batches(block, k), "query_id long, id long, score double"))
+                out = out.unionByName(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()).dropDuplicates(["id"]).mapInArrow(_block_batches(block, k), "query_id long, id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

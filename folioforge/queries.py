@@ -145,8 +145,8 @@ SELECT h.id, coalesce(c, score) AS score, c IS NOT NULL AS is_contextual FROM hi
 )
 def contextual_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = _view(spark, sf_dir)
-    hits = view.where(F.contains(F.lower("content"), F.lit("collector"))).select("id", F.lit(5.0).alias("score"))
-    context = view.where(F.contains(F.lower("content"), F.lit("nightly collector"))).select("id", F.lit(0.9).alias("context_score"))
+    hits = view.where(F.contains(F.lower("content"), F.lit("collector"))).select("id", F.lit(5.0).alias("score")).distinct()
+    context = view.where(F.contains(F.lower("content"), F.lit("nightly collector"))).select("id", F.lit(0.9).alias("context_score")).distinct()
     return search.contextual_first(hits, context, 100)
 
 

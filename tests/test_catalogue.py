@@ -46,6 +46,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "text:string" not in plan
 
 
+def test_unused_contents_are_not_read(spark, sf_dir):
+    for name in ("section_toc", "section_ancestors", "section_prev_next"):
+        plan = core.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "content:string" not in plan and "embedding" not in plan, name
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
