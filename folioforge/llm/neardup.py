@@ -45,7 +45,7 @@ SKETCH_BITS, BLOCK_BITS = 24, 12
 #: Sketch counts are kept as eighths of their logarithm to base 2.
 LOG_STEP = 8.0
 #: Ids up to this number (8 bytes each) are broadcast to filter a scan.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 EXPAND_CLASS = 64
 
 
