@@ -37,10 +37,10 @@ def per_minute(events: DataFrame, time: str = "ts", value: str = "value", kind:
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("minute"), kind, "n", "total")
 
 
-def sliding_hours(stream: DataFrame, key: str, time: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    """Requests per key of each hour that starts at a full minute, with late events up to a watermark."""
+def sliding_hours(stream: DataFrame, key: str, time: str = "ts", lateness: str = "1 hour", slide: str = "1 minute") -> DataFrame:
+    """Requests per key of each hour that starts at a full ``slide``, with late events up to a watermark."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
-    return timed.groupBy(F.window(time, "1 hour", "1 minute").alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    return timed.groupBy(F.window(time, "1 hour", slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", time: str = "ts") -> DataFrame:

@@ -24,8 +24,10 @@ def test_stream_replays_the_limiter(spark, tmp_path):
     df.coalesce(1).write.parquet(str(source / "part"))
     limits = rates.Limits(per_minute=10, per_hour=40, burst=3, cooldown_seconds=60)
     stream = spark.readStream.schema(df.schema).parquet(str(source / "part"))
-    query = rates.admissions(stream, "domain", limits).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = rates.admissions(stream, "domain", limits).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).start()
+    # a query with timeouts doesn't end by itself
+    query.processAllAvailable()
+    query.stop()
     got = {}
     for r in spark.table("admitted").orderBy("domain", "at").collect():
         got.setdefault(r["domain"], []).append(r["decision"])
@@ -38,10 +40,10 @@ def test_stream_windows(spark, sf_dir, tmp_path):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query = rates.sliding_hours(stream, "event_type").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    query = rates.sliding_hours(stream, "event_type", slide="15 minutes").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     total = spark.table("hours").agg(F.sum("n")).first()[0]
-    assert total == 60 * spark.read.parquet(path).count()
+    assert total == 4 * spark.read.parquet(path).count()
 
 
 def test_flags(spark):
