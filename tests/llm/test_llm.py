@@ -163,6 +163,38 @@ def test_furniture_of_nothing(spark):
     assert boilerplate.furniture_lines(segments, documents).count() == 0
 
 
+def unlisted_tables(spark):
+    """A host of 300 pages with furniture of no known kind on 20 of them, and prose, headings and lists that recur."""
+    rng = random.Random(9)
+    pick = lambda: rng.choice(WORDS)
+    segments, documents, expected = [], [], set()
+    long = f"Everything on these pages is given as it stands and without any promise of use. Whoever relies on it does so alone. {' '.join(WORDS)} end of statement."
+    for d in range(300):
+        documents.append((d, f"https://big.example/p/{d}", f"/h/{d}"))
+        prose = [f"Compare the {pick()} with the {pick()} first.", f"Each {pick()} of page {d} holds the {pick()}.", f"Then the {pick()} starts {d} times, as a {pick()} does."]
+        lead, middle, last = " ".join(rng.sample(prose, 3)), rng.choice(prose), " ".join(rng.sample(prose, 3))
+        lines = [lead, "", middle, "", last]
+        if d % 20 == 19:
+            lines = ["## Common options", "", *lines, "", "- keep the list entry"]
+        if d < 20:
+            lines = [f"Maintained by {pick()} since {2000 + d}", "", *lines]
+            segments += [(1000 + d, d, f"{lead}\n\nPowered by Forge"), (2000 + d, d, f"{lead}\n\n{long}"), (3000 + d, d, f"{pick()} {d} keeps this mirror alive\n\n{lead}")]
+            expected |= {(d, 0), (1000 + d, 2), (2000 + d, 2), (3000 + d, 0)}
+        if 40 <= d < 70:
+            lines = [middle, *lines[1:], "", middle]
+        segments.append((d, d, "\n".join(lines)))
+    return spark.createDataFrame(segments, "id long, document_id long, content string"), spark.createDataFrame(documents, "doc_id long, url string, html_path string"), expected
+
+
+def test_furniture_of_no_known_kind(spark, monkeypatch):
+    segments, documents, expected = unlisted_tables(spark)
+    assert {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()} == expected
+    # the same where nothing is small enough to be broadcast
+    for bound in ("BROADCAST_KEYS", "BROADCAST_TEMPLATES", "BROADCAST_DOCUMENTS"):
+        monkeypatch.setattr(boilerplate, bound, 0)
+    assert {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()} == expected
+
+
 # ---- 3 residue
 
 
