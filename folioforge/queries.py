@@ -197,6 +197,13 @@ def vector_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn_batch(vector.vectors_of(table(spark, sf_dir, "document_segments")), queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@register()
+def vector_knn_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest segments to every query vector whose id is divisible by 50, in blocks; brute force in test_edges is its twin."""
+    queries = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.knn_batch(vector.vectors_of(table(spark, sf_dir, "document_segments")), queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 # ---- sections
 
 _TITLED = """

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import queries as core
 from folioforge.functions import checks, labels
 from folioforge.operators import chunking, crawl, lookups, sections, vector
 
@@ -90,6 +92,20 @@ def test_batch_search_equals_single_searches(spark):
     assert set(got) == set(range(7))
 
 
+def test_batch_search_of_the_whole_query_set_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base, asked = rng.normal(size=(40, 64)).astype("float32"), rng.normal(size=(2_050, 64)).astype("float32")
+    # more than one block of 2,000 queries, and ids that aren't asked for
+    numbers = [50 * k for k in range(2_050)]
+    rows = [(n, v.tolist()) for n, v in zip(numbers, asked)] + [(n + 1, asked[0].tolist()) for n in numbers[:20]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(base)], "id long, document_id long, embedding array<float>").write.parquet(f"{tmp_path}/document_segments.parquet")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in core.queries()["vector_knn_batch_all"](spark, str(tmp_path)).collect()}
+    unit = lambda m: m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    best = np.argsort(-(unit(asked) @ unit(base).T), axis=1, kind="stable")[:, :5]
+    assert got == {(numbers[q], r + 1): int(best[q, r]) for q in range(len(numbers)) for r in range(5)}
+
+
 def test_siblings_and_contents(spark):
     df = spark.createDataFrame([(1, 1, "1"), (2, 1, "2"), (3, 1, "1.1"), (4, 1, "1.2"), (5, 2, "1")], "id long, document_id long, section_path string").withColumn("section_title", F.lit("t"))
     assert {(r["id"], r["sibling_id"]) for r in sections.siblings(df).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
