@@ -281,6 +281,22 @@ def test_no_vectors(spark):
     assert hashknn.nearest(empty, empty).count() == 0
 
 
+def test_nearest_is_exact_where_hashing_misses(spark, monkeypatch):
+    monkeypatch.setattr(hashknn, "TABLES", 1)
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(20, 64)), 30, axis=0)
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True) + rng.normal(size=centres.shape) * 0.03
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit.astype("float32"))], "id long, embedding array<float>")
+    got = {}
+    for r in hashknn.nearest(df, df.where(F.col("id") % 5 == 0), k=2).collect():
+        got.setdefault(r["segment_id"], {})[r["rank"]] = r["neighbour_id"]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -2)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :2]
+    assert got == {q: {1: int(best[q, 0]), 2: int(best[q, 1])} for q in range(0, 600, 5)}
+
+
 # ---- 5 splitting
 
 
