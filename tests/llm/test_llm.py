@@ -129,7 +129,7 @@ def furniture_tables(spark, extra=()):
     segments, documents, expected = [], [], set()
     for d in range(30):
         documents.append((d, f"https://www.Acme.example:80/docs/{d}", f"/h/{d}" if d != 29 else None, "host"))
-        body = f"Set the {rng.choice(WORDS)} of {rng.choice(WORDS)} with care. It then keeps {rng.choice(WORDS)} {d} times."
+        body = " ".join(rng.sample([f"Set the {rng.choice(WORDS)} of {rng.choice(WORDS)} with care.", f"It then keeps {rng.choice(WORDS)} {d} times.", f"No {rng.choice(WORDS)} waits for the {rng.choice(WORDS)}."], 3))
         lines = ["Menu", "Search", "", body, "", "```", "Menu", "© 2020 x", "```", "", f"Cookies help us keep the {rng.choice(WORDS)} of {rng.choice(WORDS)} working; choose agree or settings [{d}].", "", "| Menu | x |", "Share this page with your hybrid team on the Acme board"]
         segments.append((d, d, "\r\n".join(lines) if d == 3 else "\n".join(lines), 7))
         if d != 29:
@@ -147,14 +147,14 @@ def test_furniture(spark):
     got = [tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     bodies = {r["segment_id"]: r for r in boilerplate.main_bodies(segments, documents).collect()}
-    assert bodies[4]["removed"] == 4 and "Cookies" not in bodies[4]["body"] and "Set the" in bodies[4]["body"]
+    assert bodies[4]["removed"] == 4 and "Cookies" not in bodies[4]["body"] and "with care" in bodies[4]["body"]
 
 
 def test_block_goes_with_its_template(spark):
     block = "See also\n- the first entry\n- another entry"
-    segments, documents, expected = furniture_tables(spark, [(200 + k, k, f"Some prose here. And more of it.\n\n{block}\n\nLast words of prose.", 7) for k in range(5)])
+    segments, documents, expected = furniture_tables(spark, [(200 + k, k, f"{WORDS[k]} is here. And more of it.\n\n{block}\n\n{WORDS[-k]} ends all {WORDS[k]}.", 7) for k in range(12)])
     got = {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()}
-    assert got - expected == {(200 + k, n) for k in range(5) for n in (2, 3, 4)}
+    assert got - expected == {(200 + k, n) for k in range(12) for n in (2, 3, 4)}
 
 
 def test_furniture_of_nothing(spark):
@@ -190,7 +190,7 @@ def test_furniture_of_no_known_kind(spark, monkeypatch):
     segments, documents, expected = unlisted_tables(spark)
     assert {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()} == expected
     # the same where nothing is small enough to be broadcast
-    for bound in ("BROADCAST_KEYS", "BROADCAST_TEMPLATES", "BROADCAST_DOCUMENTS"):
+    for bound in ("BROADCAST_TEMPLATES", "BROADCAST_DOCUMENTS"):
         monkeypatch.setattr(boilerplate, bound, 0)
     assert {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()} == expected
 
