@@ -1,29 +1,32 @@
 """Template residue, filler and error-page text in place of content (problem 3).
 
-Character n-gram models of filler, unfilled placeholders, error notices and
-script notices are fitted on written examples with varied slots; the model of
-natural prose is fitted on all texts of the table but those that consist mostly
-of what the examples hold.  Every position of a text has
-a log likelihood ratio of each residue model against prose; where its mean over a
-window is above a threshold the text is residue.  A text is excluded when the
-residue covers enough of it; a text that explains placeholders, errors or
-scripts covers little, since the explanation around is prose.  Placeholders
-stand between words of any kind, so their model reads the shape of a text
-(words by case, numbers, and all signs as they are) in a narrower window, and a
-page with one of them left over is residue whatever else it holds.
+Character n-gram models of filler, error notices, script notices and unfilled
+placeholders start from public examples (``residue_seeds``); the model of natural
+prose starts from all texts.  Then the models are refitted on the texts themselves,
+without labels (expectation and maximisation): what the models take for residue
+leaves the prose model and, where it covers most of a text, joins its class.
+
+Every position of a text has a log likelihood ratio of each residue model against
+prose; where its mean over a window is above a threshold the text is residue.  A
+text is excluded when residue covers enough of it; a text that explains
+placeholders, errors or scripts covers little, since the explanation around is
+prose.  Placeholders stand between words of any kind, so their model reads the shape
+of a text (words by case, numbers, and all signs as they are) in a narrower window,
+and a page with one of them left over is residue whatever else it holds.
 
 Code spans in backticks aren't scored: what stands there is mentioned, not left
-over.  Lines of navigation and titles don't count in the share of coverage
-beyond a bound, so a page's frame doesn't hide its missing content.
+over.  Lines of navigation and titles (up to three words) count for a fifth in the
+share of coverage, so a page's frame doesn't hide its missing content.
+
+Texts are scored a slice at a time with prefix sums over arrays.
 
 Defined results: null and blank texts and failed requests are no cases; copies of
-a row count once; the smallest id is kept for rows without differing text.
+a row count once; the smallest kind and the largest coverage are kept for rows of
+one id with different texts.
 """
 
 from __future__ import annotations
 
-import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,233 +35,234 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm import textkernel as tk
+from folioforge.llm.residue_seeds import seeds
+
 GRAM = 5
 TABLE_BITS = 18
-#: Texts with this share of grams that occur in the examples don't count as prose.
-EXAMPLE_SHARE = 0.7
 #: Floor of a frequency: a gram that neither model knows says nothing.
 FLOOR = 2e-6
 CLIP = 4.0
 HALF_WINDOW = 12
 WINDOW_MEAN = 0.35
-#: Share of a text that residue must cover.
-COVERAGE = 0.25
+#: Share of a text that residue must cover; and so that the text joins its class.
+COVERAGE, CERTAIN = 0.25, 0.5
+#: Refits on the texts, and the weight of what they find against the examples.
+REFITS, OWN_WEIGHT = 3, 0.5
 #: The same for placeholders, by shape, and the characters one must cover.
 SHAPE_HALF_WINDOW, SHAPE_MEAN, SHAPE_CHARS = 2, 1.2, 5
 DELIMITERS = "{}[]<>%@_$"
 #: The same for placeholders that are words.
 NAMED_HALF_WINDOW, NAMED_CHARS = 4, 10
-SEED_COPIES = 6
-
-_SLOT_WORDS = (
-    "account archive article banner basket bottom button caption catalog category chapter client column comment company contact content customer date department description "
-    "dialog document email event feature field file folder form gallery group guide header heading image index invoice item label language layout link list location manager "
-    "member menu message module name news note notice number object offer option order owner page panel parameter partner password payment person picture plan player policy post "
-    "price product profile project property question record region report request result review role route row sale schedule search section server service session setting site "
-    "source state status stock store street summary support table tag task team term text theme thread ticket time title token tool topic type unit update user value version video view"
-).split()
-_STYLES = (
-    "{{ a.b }}", "{{a_b}}", "{{ a }}", "{a_b}", "{a}", "${a.b}", "${a_b}", "#{a.b}", "<%= a.b %>", "<%= a_b %>", "@@A:B@@", "@@a:b@@", "%%A_B%%", "%%a_b%%", "__A_B__", "__a_b__",
-    "[[a-b]]", "[[a_b]]", "<your-a-b>", "<a_b>", "{% block a_b %}", "%(a)s", "[INSERT a b HERE]", "[INSERT A B HERE]", "[% a.b %]",
-)
-#: Placeholders that are words; these are found by their letters.
-_NAMED_STYLES = ("TODO: fill in ", "TODO: add ", "TODO: write ", "TBD: fill in ")
-_PLACEHOLDER = (
-    "Welcome to P, the home of P. Updated P.", "P\nP\nWelcome to P, the home of P. Updated P.", "Guide for P\n\nIn this guide you learn how q P works with P.", "Dear P, the q of P is ready.", "P", "P\nP\nP",
-    "P - Q q q | P\nThe q q q. ", "Price: P per q\nContact: P", "Q q: P q\nQ: P", "The q of P is called P.", "the q P and P (P), see P; q.", "Q P q, P.",
-)
-_FILLER = (
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
-    "L", "L", "L", "L", "L", "L",
-    "xxxxx xxxx xxxxxxxx xx xxxxx. Xxxx xxxxxx Q xxxx xxxxxxx xxx.", "xxx xxxxxx xx xxxx xxxxxxx. xxxxxx xxx.", "asdf asdf asdf qwer qwer Q test test test test 123 123", "asdf qwer asdf test test 123 test test qwer qwer",
-    "Text goes here. Text goes here. More text about Q goes here.", "Your text goes here. Content goes here. More content about Q goes here.", "Insert text here. Add your text here. Title goes here.",
-    "Sample page\n\nThis is an example page. Swap it for something about your Q Q soon.", "This is a sample page. Replace it with something about your Q soon.",
-    "Placeholder text. Replace this paragraph with your own Q copy. Placeholder text.", "Placeholder text. Placeholder text. Replace this text with your own Q copy.",
-    "Blindtext Blindtext Q Blindtext. Hier steht später der Inhalt zu Q.", "Dies ist ein Blindtext. Hier steht später der Text zu Q. Blindtext Blindtext.",
-    "Coming soon. Content for \"Q Q\" will be added here. (draft Q-Q-Q)", "Coming soon. Content will be added here soon. (draft)", "Ceci est un texte de remplissage. Le contenu viendra bientôt.", "Texto de relleno. El contenido se añadirá pronto.",
-)
-_ERROR = (
-    "404 Not Found\n\nnginz/2.6", "404 Not Found\n\nnginx/1.18", "403 Forbidden\n\nnginx", "Error 404. The page you requested was not found.", "Access denied. You do not have permission to view Q Q. Reference #652929",
-    "Access denied. You do not have permission to access this page. Reference #18", "Oops! We could not find the page /Q. Go back home.", "Oops! Something went wrong. We could not find the page. Go back home.",
-    "Error 500: the Q Q did not answer in time. Ray 0173db", "Error 502: the server did not answer in time. Ray 5ed4ab", "500 Internal Server Error", "502 Bad Gateway. The server did not answer in time.",
-    "Traceback (most recent call last):\n  File \"app/Q.py\", line 145, in render\nKeyError: 'Q_Q'", "Traceback (most recent call last):\n  File \"app/main.py\", line 12, in render\nValueError: 'Q'",
-    "Fatal error: Uncaught TypeError: Q_Q(): Argument #1 must be of type array in /srv/www/Q on line 602", "Fatal error: Uncaught Error: call to undefined function Q() in /srv/www/Q on line 12",
-    "The database connection could not be established. [Q]", "Error establishing a database connection.", "Too many requests. You are being rate limited; try again in 433 seconds.", "429 Too many requests. You are being rate limited; try again later.",
-    "Your session has expired. Please sign in again to continue to Q Q.", "Your session has expired. Please log in again to continue.", "Q is down for maintenance. We'll be back shortly.\n\nIncident 57747", "The site is down for maintenance. We'll be back shortly.\n\nIncident 84",
-    "Checking that you are not a robot before opening Q.example. This takes about 9 seconds.", "Checking that you are not a robot before opening Q.test. This takes about 2 seconds.", "no such document: Q_Q", "no such document: Q-Q-Q", "no such page: Q.Q",
-    "Lo sentimos, ha ocurrido un error interno (código 836266).", "Lo sentimos, no se ha encontrado la página (código 404).", "Страница не найдена. Код 407.", "Ошибка сервера. Страница не найдена. Код 404.",
-    "Diese Seite wurde nicht gefunden. Fehler 406 (Q.Q).", "Seite nicht gefunden. Fehler 404 (Q).", "Page introuvable : « Q.Q » n'existe plus ou a été déplacée.", "Page introuvable : cette page n'existe plus ou a été déplacée.",
-    "ページが見つかりません。エラー404。", "お探しのページは見つかりませんでした。", "アクセスが拒否されました。", "サーバーでエラーが発生しました。", "Página não encontrada. Erro 404.", "Desculpe, ocorreu um erro interno (código 83).", "Доступ запрещён.", "Une erreur interne est survenue (code 83).",
-)
-_SCRIPT = (
-    "You need to enable JavaScript to run this app.", "You need to enable JavaScript to run this app.", "Please enable JavaScript to view this page.", "Es necesario habilitar JavaScript para ver esta página (Q_Q).", "Es necesario habilitar JavaScript para ver esta página.",
-    "Bitte aktivieren Sie JavaScript, um Q.Q anzuzeigen.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher « Q ».", "Veuillez activer JavaScript pour afficher cette page.",
-    "Для работы сайта включите поддержку скриптов в браузере.", "Для работы сайта включите JavaScript в браузере.", "This site works best with scripts. Your browser has them switched off, so The Q Q cannot be shown.", "Your browser has scripts switched off, so this page cannot be shown.",
-    "Sorry, your browser is too old or has JS disabled. Upgrade to view the Q Q.", "Sorry, your browser is too old or has JS disabled. Upgrade to view Q.", "Please turn on scripts in your browser and reload to see Q.", "Please turn on scripts in your browser and reload to see this page.",
-    "Loading Q...\nIf nothing appears, your browser is blocking our script files.", "Loading Q...\nIf nothing appears, your browser is blocking our script files.", "noscript: Q requires a script-capable browser", "noscript: Q requires a script-capable browser",
-    "É necessário ativar o JavaScript para ver esta página.", "É necessário habilitar o JavaScript.", "このページを表示するにはスクリプトを有効にしてください。Q", "このページを表示するにはJavaScriptを有効にしてください。Q",
-)
-_LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud felis massa augue vitae nulla".split()
-
-_CODE = re.compile(r"`[^`\n]*`")
-_DIGITS = re.compile(r"\d")
-_WORD = re.compile(r"[^\W\d_]+")
-_NUMBER = re.compile(r"\d+")
-
-
-def seeds() -> dict[str, list[str]]:
-    """The training examples of the residue classes, with their slots filled (the same on every call)."""
-    rng = random.Random(42)
-    word = lambda: rng.choice(_SLOT_WORDS)
-
-    def fill(template: str, styles: tuple[str, ...] = ()) -> str:
-        if template == "L":
-            text = " ".join(rng.choice(_LOREM) for _ in range(20)).capitalize() + ". "
-            return text + text.upper()
-        out = []
-        for ch in template:
-            if ch == "P" and styles:
-                style = rng.choice(styles)
-                out.append(re.sub(r"\b[abAB]\b|(?<=[_\W])[abAB](?=[_\W])", lambda m: word().upper() if m.group().isupper() else word(), style.replace("_", "_ ")).replace("_ ", "_"))
-            elif ch in "Qq" and (styles or ch == "Q"):
-                out.append(word().capitalize() if styles and ch == "Q" else word())
-            else:
-                out.append(ch)
-        return "".join(out)
-
-    kinds = {"filler": _FILLER, "error": _ERROR, "script": _SCRIPT}
-    out = {k: [fill(t) for t in v for _ in range(SEED_COPIES)] for k, v in kinds.items()}
-    out["named"] = [fill("P", _NAMED_STYLES) for _ in range(40 * SEED_COPIES)]
-    out["placeholder"] = [fill(t, _STYLES) for t in _PLACEHOLDER for _ in range(40 * SEED_COPIES)]
+FRAME_WORDS, FRAME_WEIGHT = 3, 0.2
+CLASSES = ("error", "filler", "named", "script")
+_NAMED = CLASSES.index("named")
+#: A slice has at most so many characters.
+SLICE_CHARS = 400_000
+
+
+@lru_cache(maxsize=1)
+def _fold() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(small letter with digits as 0, letter, capital, digit) of each code point."""
+    low = np.arange(0x110000, dtype=np.uint32)
+    digit = np.zeros(0x110000, dtype=bool)
+    capital = np.zeros(0x110000, dtype=bool)
+    for c in range(0x1F000):
+        ch = chr(c)
+        if ch.isdecimal():
+            low[c], digit[c] = ord("0"), True
+        elif ch.isupper():
+            capital[c] = True
+            if len(ch.lower()) == 1:
+                low[c] = ord(ch.lower())
+    return low, tk.word_table() & ~digit, capital, digit
+
+
+class Slice:
+    """Some texts as code points, with code spans blanked: letters folded, and the shape of words."""
+
+    def __init__(self, texts: list[str]):
+        p = np.frombuffer(("\x00".join(t.replace("\x00", " ") if "\x00" in t else t for t in texts) + "\x00").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        breaks = (p == 0) | (p == 10)
+        tick = np.flatnonzero(p == ord("`"))
+        if len(tick):
+            line = np.searchsorted(np.flatnonzero(breaks), tick)
+            place = np.arange(len(tick)) - np.searchsorted(line, line)
+            opening = np.flatnonzero((place % 2 == 0) & np.append(line[1:] == line[:-1], False))
+            step = np.zeros(len(p) + 1, dtype=np.int8)
+            step[tick[opening]] += 1
+            step[tick[opening + 1] + 1] -= 1
+            p[np.cumsum(step[:-1]) > 0] = 32
+        low, letter, capital, digit = _fold()
+        self.count = len(texts)
+        self.plain, self.text = self._pair(low[p])
+        letters, digits = letter[p], digit[p]
+        start = letters.copy()
+        start[1:] &= ~letters[:-1]
+        at = np.flatnonzero(start)
+        end = np.flatnonzero(letters & ~np.append(letters[1:], False)) + 1
+        capitals = np.concatenate(([0], np.cumsum(capital[p])))
+        shout = (capitals[end] - capitals[at] == end - at) & (end - at > 1)
+        form = p.copy()
+        form[at] = np.where(shout, ord("A"), ord("a"))
+        lead = digits.copy()
+        lead[1:] &= ~digits[:-1]
+        form[lead] = ord("0")
+        self.shape, self.shape_text = self._pair(form[(~letters | start) & (~digits | lead)])
+
+    def _pair(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return p, np.cumsum(p == 0) - (p == 0)
+
+    @staticmethod
+    def grams(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(table index of the gram that starts at each place, whether it lies in one text)."""
+        n = len(p)
+        wide = np.concatenate((p, np.zeros(GRAM, np.uint32))).astype(np.uint64)
+        key = np.zeros(n, dtype=np.uint64)
+        for k in range(GRAM):
+            key *= np.uint64(0x100000001B3)
+            key += wide[k : k + n]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        ends = np.concatenate(([0], np.cumsum(wide == 0)))
+        return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64), ends[GRAM : n + GRAM] == ends[:n]
+
+
+def covered(p: np.ndarray, text: np.ndarray, key: np.ndarray, inside: np.ndarray, table: np.ndarray, half: int, least: float) -> np.ndarray:
+    """Whether each character lies in a gram whose window, within its text, is likelier residue than prose."""
+    n = len(p)
+    at = np.flatnonzero(inside)
+    total = np.concatenate(([0.0], np.cumsum(table[key[at]], dtype=np.float64)))
+    owner = text[at]
+    first, last = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
+    index = np.arange(len(at))
+    lo, hi = np.maximum(index - half, first), np.minimum(index + half + 1, last)
+    hot = np.zeros(n + 1, dtype=np.int64)
+    hot[at + 1] = (total[hi] - total[lo]) / (hi - lo) > least
+    run = np.cumsum(hot)
+    return run[1:] - run[np.maximum(np.arange(n) + 1 - GRAM, 0)] > 0
+
+
+def _longest(span: np.ndarray, text: np.ndarray, count: int, signs: np.ndarray | None) -> np.ndarray:
+    """Longest run of ``span`` in each text; with ``signs``, among the runs that hold two of them."""
+    edge = np.diff(np.concatenate(([0], span.view(np.int8), [0])))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if signs is not None:
+        total = np.concatenate(([0], np.cumsum(signs)))
+        keep = total[b] - total[a] >= 2
+        a, b = a[keep], b[keep]
+    out = np.zeros(count, dtype=np.int64)
+    np.maximum.at(out, text[a], b - a)
     return out
 
 
-def normalise(text: str) -> str:
-    """Lower case, digits as one, code spans blanked."""
-    return _DIGITS.sub("0", _CODE.sub(" ", text).lower())
+def judge(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Slice]:
+    """Per text: (share of each class, share of all, characters of the longest placeholder); and the slice."""
+    letters, shaped = model
+    part = Slice(texts)
+    p, text = part.plain, part.text
+    key, inside = part.grams(p)
+    hot = np.stack([covered(p, text, key, inside, table, HALF_WINDOW, WINDOW_MEAN) for table in letters])
+    some = hot.any(axis=0)
+    weight = ~np.isin(p, (0, 32, 9, 10, 13)) * 1.0
+    breaks = (p == 0) | (p == 10)
+    line = np.cumsum(breaks) - breaks
+    solid = weight > 0
+    word = solid.copy()
+    word[1:] &= ~solid[:-1]
+    lines = int(line[-1]) + 1
+    frame = (np.bincount(line, weights=word, minlength=lines) <= FRAME_WORDS) & (np.bincount(line, weights=some & ~breaks, minlength=lines) == 0)
+    weight[frame[line]] *= FRAME_WEIGHT
+    size = np.maximum(np.bincount(text, weights=weight, minlength=part.count), 1.0)
+    share = np.stack([np.bincount(text, weights=weight * h, minlength=part.count) / size for h in hot])
+    whole = np.bincount(text, weights=weight * some, minlength=part.count) / size
+    key2, inside2 = part.grams(part.shape)
+    form = covered(part.shape, part.shape_text, key2, inside2, shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)
+    by_shape = _longest(form, part.shape_text, part.count, np.isin(part.shape, [ord(c) for c in DELIMITERS]))
+    named = _longest(covered(p, text, key, inside, letters[_NAMED], NAMED_HALF_WINDOW, SHAPE_MEAN), text, part.count, None)
+    return share, whole, np.maximum(by_shape, np.where(named >= NAMED_CHARS, named, 0)), part
+
+
+def _bins(p: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    key, inside = Slice.grams(p)
+    return np.bincount(key[inside if keep is None else inside & keep], minlength=1 << TABLE_BITS)
 
 
-def shape(text: str) -> str:
-    """Words as ``a`` (in capitals ``A``) and numbers as ``0``, other signs as they are, code spans blanked."""
-    return _NUMBER.sub("0", _WORD.sub(lambda m: "A" if len(m.group()) > 1 and m.group().isupper() else "a", _CODE.sub(" ", text)))
+@lru_cache(maxsize=1)
+def _examples() -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the examples: by class over letters, and of placeholders over shapes."""
+    found = seeds()
+    return np.stack([_bins(Slice(found[k]).plain) for k in CLASSES]).astype(np.float64), _bins(Slice(found["placeholder"]).shape).astype(np.float64)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(table index, text) of every character n-gram."""
-    points = np.frombuffer(("\x00".join(t.replace("\x00", " ") for t in texts) + "\x00" * GRAM).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(points) - GRAM + 1
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        key = key * np.uint64(0x100000001B3) + points[k : k + n]
-    key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
-    ends = np.flatnonzero(points == 0)
-    owner = np.searchsorted(ends, np.arange(n))
-    inside = np.arange(n) + GRAM <= np.append(ends, len(points))[np.minimum(owner, len(ends))]
-    return key[inside].astype(np.int64), owner[inside]
+def models(counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios against prose, by letters for each class and by shape; ``counts`` has prose, its shapes, and the classes' own finds."""
+    letters, shaped = _examples()
 
+    def share(x: np.ndarray) -> np.ndarray:
+        return x / max(x.sum(), 1.0)
 
-def frequencies(texts: list[str]) -> np.ndarray:
-    keys, _ = grams(texts)
-    return np.bincount(keys, minlength=1 << TABLE_BITS) / max(len(keys), 1)
+    own = counts[2:]
+    mixed = []
+    for k in range(len(CLASSES)):
+        seed = share(letters[k])
+        mixed.append((1 - OWN_WEIGHT) * seed + OWN_WEIGHT * share(own[k]) if own[k].sum() else seed)
+    ratio = np.log((np.stack(mixed) + FLOOR) / (share(counts[0]) + FLOOR))
+    shape_ratio = np.log((share(shaped) + FLOOR) / (share(counts[1]) + FLOOR))
+    return np.clip(ratio, -CLIP, CLIP).astype(np.float32), np.clip(shape_ratio, -CLIP, CLIP).astype(np.float32)
 
 
-@lru_cache(maxsize=1)
-def _example_grams() -> np.ndarray:
-    """True at each gram of the residue examples that are letters."""
-    examples = seeds()
-    return frequencies([normalise(t) for k, v in examples.items() if k != "placeholder" for t in v]) > 0
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int64)
-    known = _example_grams()
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a in range(0, len(texts), 2_000):
-            part = texts[a : a + 2_000]
-            plain = [normalise(t) for t in part]
-            keys, owner = grams(plain)
-            size = np.bincount(owner, minlength=len(part))
-            prose = np.bincount(owner, weights=known[keys], minlength=len(part)) < EXAMPLE_SHARE * np.maximum(size, 1)
-            counts[0] += np.bincount(keys[prose[owner]], minlength=counts.shape[1])
-            if prose.any():
-                counts[1] += np.bincount(grams([shape(t) for t, ok in zip(part, prose) if ok])[0], minlength=counts.shape[1])
-    form, at = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(form.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[form, at])], names=["form", "gram", "n"])
-
-
-def ratios(prose: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(classes by letters, their log ratios by gram, the log ratios of placeholders by shape gram)."""
-    prose = prose / np.maximum(prose.sum(axis=1, keepdims=True), 1.0)
-    examples = seeds()
-    shaped = np.log((frequencies([shape(t) for t in examples.pop("placeholder")]) + FLOOR) / (prose[1] + FLOOR))
-    names = sorted(examples)
-    letters = [np.log((frequencies([normalise(t) for t in examples[k]]) + FLOOR) / (prose[0] + FLOOR)) for k in names]
-    return names, np.clip(np.stack(letters), -CLIP, CLIP).astype(np.float32), np.clip(shaped[None, :], -CLIP, CLIP).astype(np.float32)
-
-
-def fit(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The models: the seeds against the n-grams of all ``texts``."""
-    table = texts.mapInArrow(_count_batches, "form int, gram int, n long").groupBy("form", "gram").agg(F.sum("n").alias("n")).toArrow()
-    prose = np.zeros((2, 1 << TABLE_BITS))
-    prose[table.column("form").to_numpy(), table.column("gram").to_numpy()] = table.column("n").to_numpy()
-    return ratios(prose)
-
-
-def covered(plain: str, table: np.ndarray, half: int, least: float) -> np.ndarray:
-    """Per class and character: whether it lies in a gram whose window is likelier residue than prose."""
-    keys, _ = grams([plain])
-    out = np.zeros((len(table), len(plain)), dtype=bool)
-    n = len(keys)
-    if n:
-        total = np.concatenate((np.zeros((len(table), 1)), np.cumsum(table[:, keys], axis=1, dtype=np.float64)), axis=1)
-        lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
-        hot = (total[:, hi] - total[:, lo]) / (hi - lo) > least
-        for k in range(GRAM):
-            out[:, k : k + n] |= hot
-    return out
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    return tk.slices(texts, SLICE_CHARS)
+
+
+def _count_batches(model):
+    """(form, gram, n): prose, its shapes and the classes' own finds, as far as a model tells them apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2 + len(CLASSES), 1 << TABLE_BITS), dtype=np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in _slices(texts):
+                if model is None:
+                    part = Slice(texts[a:b])
+                    prose = np.ones(part.count, dtype=bool)
+                else:
+                    share, whole, left, part = judge(texts[a:b], model.value)
+                    prose = (whole < COVERAGE) & (left < SHAPE_CHARS)
+                    best = np.where((whole >= CERTAIN) & (left < SHAPE_CHARS), np.argmax(share, axis=0), -1)
+                    for k in range(len(CLASSES)):
+                        if k != _NAMED and (best == k).any():
+                            counts[2 + k] += _bins(part.plain, (best == k)[part.text])
+                counts[0] += _bins(part.plain, prose[part.text])
+                counts[1] += _bins(part.shape, prose[part.shape_text])
+        form, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(form.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[form, at])], names=["form", "gram", "n"])
+
+    return run
 
 
-def judge(text: str, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[str, float, int]:
-    """(likeliest kind, share of the text that is residue, longest placeholder in characters)."""
-    names, letters, shaped = model
-    plain = normalise(text)
-    hot = covered(plain, letters, HALF_WINDOW, WINDOW_MEAN)
-    solid = ~np.isin(np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), (32, 9, 10, 13))
-    # a page's frame, lines of up to three words, counts for a fifth
-    weight = solid.astype(np.float64)
-    at = 0
-    for line in plain.split("\n"):
-        if len(line.split()) <= 3 and not hot[:, at : at + len(line)].any():
-            weight[at : at + len(line)] *= 0.2
-        at += len(line) + 1
-    size = max(weight.sum(), 1.0)
-    share = (hot * weight).sum(axis=1) / size
-    named = names.index("named")
-    form = shape(text)
-    longest = [0, 0]
-    near = covered(plain, letters[named : named + 1], NAMED_HALF_WINDOW, SHAPE_MEAN)[0]
-    for k, span in enumerate((covered(form, shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)[0], near)):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], span.view(np.int8), [0]))))
-        for a, b in zip(edge[::2], edge[1::2]):
-            # a placeholder by shape has an opening and a closing sign
-            if k or sum(form.count(c, a, b) for c in DELIMITERS) >= 2:
-                longest[k] = max(longest[k], int(b - a))
-    left_over = max(longest[0], longest[1] if longest[1] >= NAMED_CHARS else 0)
-    kind = "placeholder" if left_over >= SHAPE_CHARS else names[int(np.argmax(share))].replace("named", "placeholder")
-    return kind, float((hot.any(axis=0) * weight).sum() / size), left_over
+def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The models, after ``REFITS`` refits on all ``texts``; what travels is six tables of 2^18 counts."""
+    context = texts.sparkSession.sparkContext
+    model = None
+    for _ in range(1 + REFITS):
+        table = texts.mapInArrow(_count_batches(context.broadcast(model) if model else None), "form int, gram int, n long").groupBy("form", "gram").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((2 + len(CLASSES), 1 << TABLE_BITS))
+        counts[table.column("form").to_numpy(), table.column("gram").to_numpy()] = table.column("n").to_numpy()
+        model = models(counts)
+    return model
 
 
 def _judge_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kind, share, left_over = judge(text, model.value)
-                if share >= COVERAGE or left_over >= SHAPE_CHARS:
-                    rows.append((i, kind, round(share, 4)))
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["analysis_id", "kind", "coverage"])
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for a, b in _slices(texts):
+                share, whole, left, _ = judge(texts[a:b], model.value)
+                hit = np.flatnonzero((whole >= COVERAGE) | (left >= SHAPE_CHARS))
+                best = np.argmax(share[:, hit], axis=0)
+                kind = np.where((left[hit] >= SHAPE_CHARS) | (best == _NAMED), "placeholder", np.array(CLASSES)[best])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][hit]), pa.array(kind.tolist(), pa.string()), pa.array(np.round(whole[hit], 4))], names=["analysis_id", "kind", "coverage"])
 
     return run
 

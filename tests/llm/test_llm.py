@@ -9,7 +9,7 @@ import pytest
 from oracle import spark_rows, sql_rows, views
 from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, hashknn, leakage, mojibake, neardup, residue, sitelines, splitting, textkernel, tokenise
+from folioforge.llm import boilerplate, hashknn, leakage, mojibake, neardup, residue, residue_seeds, sitelines, splitting, textkernel, tokenise
 from folioforge.llm import queries as llm
 
 SQL = llm.oracle_sql()
@@ -198,8 +198,12 @@ def test_furniture_of_no_known_kind(spark, monkeypatch):
 # ---- 3 residue
 
 
+def residue_prose():
+    return [f"The {a} {b} reads the {c} before the {a} {c} writes it. Compared with a {b}, the {c} needs fewer {a} rows. By default, every {b} keeps its {c}." for a in WORDS[:12] for b in WORDS[12:18] for c in WORDS[18:]]
+
+
 def test_residue_on_held_out_texts(spark):
-    prose = [f"The {a} {b} reads the {c} before the {a} {c} writes it. Compared with a {b}, the {c} needs fewer {a} rows. By default, every {b} keeps its {c}." for a in WORDS[:12] for b in WORDS[12:18] for c in WORDS[18:]]
+    prose = residue_prose()
     bad = {
         "placeholder": ["Dear {{ buyer.name }}, the order of {{ shop.title }} is ready. The alpha beta reads the gamma before the delta writes it.", "<%= page.title %> - Alpha | <%= site.name %>\nThe alpha beta reads the gamma.", "Price: ${item.price}"],
         "filler": ["Lorem ipsum dolor sit amet, consectetur elit sed do tempor.", "asdf asdf qwer qwer test test", "Text goes here. More text goes here."],
@@ -220,6 +224,38 @@ def test_residue_on_held_out_texts(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+#: Wordings of other makers; none shares a phrase of four words with a training example.
+OTHER_MAKERS = (
+    "We searched everywhere but this address leads nowhere; maybe the page was removed. Error 404.", "Whoops, our server hit an unexpected error while handling this request.", "Too many login attempts. Retry in 15 minutes.", "This resource is forbidden for anonymous users. Please log in first.",
+    "Gateway error: upstream server timed out after 30 seconds.", "Turn JavaScript on to use this site; your browser has disabled it.", "Scripts seem blocked by the browser, so nothing can be shown.", "Ihr Browser blockiert JavaScript. Bitte aktivieren Sie es und laden Sie die Seite neu.",
+    "Dolor sit ipsum lorem, tempor magna aliqua veniam dolore sed elit.", "Your headline here. Your text here. Add text here.", "TODO: describe the garden", "Hello {{customer.first_name}}, welcome to {{shop.name}}",
+)
+
+
+def test_residue_of_other_makers():
+    """Recall on wordings that the models weren't fitted on, against prose that holds none."""
+    pieces = {tuple(w[i : i + 4]) for k, ts in residue_seeds.seeds().items() if k != "placeholder" for t in ts for w in [re.findall(r"[a-z]+", t.lower())] for i in range(len(w) - 3)}
+    for text in OTHER_MAKERS:
+        words = re.findall(r"[a-z]+", text.lower())
+        assert not {tuple(words[i : i + 4]) for i in range(len(words) - 3)} & pieces, text
+    prose = residue_prose()
+    part = residue.Slice(prose)
+    counts = np.zeros((2 + len(residue.CLASSES), 1 << residue.TABLE_BITS))
+    counts[0], counts[1] = residue._bins(part.plain), residue._bins(part.shape)
+    model = residue.models(counts)
+    _, whole, left, _ = residue.judge([*OTHER_MAKERS, *prose[:50]], model)
+    hit = (whole >= residue.COVERAGE) | (left >= residue.SHAPE_CHARS)
+    assert hit[: len(OTHER_MAKERS)].mean() >= 0.9 and not hit[len(OTHER_MAKERS) :].any()
+
+
+def test_residue_arrays_equal_plain_text():
+    texts = ["Ab `c {{ d }}` EF 12 3`x", "", "`a\nb` g_H1", "ß ГД 9"]
+    part = residue.Slice(texts)
+    back = "".join(map(chr, part.plain)).split("\x00")[:-1]
+    assert back == ["ab " + " " * 11 + " ef 00 0`x", "", "`a\nb` g_h0", "ß гд 0"]
+    assert "".join(map(chr, part.shape)).split("\x00")[:-1] == ["a" + " " * 13 + "A 0 0`a", "", "`a\na` a_a0", "a A 0"]
+
+
 def test_failed_requests_are_no_cases(spark):
     rows = [(1, (None, None)), (2, None), (3, ("404 Not Found", None)), (3, ("404 Not Found", None))]
     df = spark.createDataFrame(rows, "analysis_id long, requests struct<content_preview:string,error:string>")
