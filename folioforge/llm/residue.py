@@ -55,6 +55,8 @@ DELIMITERS = "{}[]<>%@_$"
 #: The same for placeholders that are words.
 NAMED_HALF_WINDOW, NAMED_CHARS = 4, 10
 FRAME_WORDS, FRAME_WEIGHT = 3, 0.2
+#: Grams of unseen prose that are taken to stand beside those of the table: a few texts say little.
+UNSEEN = 20_000
 CLASSES = ("error", "filler", "named", "script")
 _NAMED = CLASSES.index("named")
 #: A slice has at most so many characters.
@@ -198,16 +200,16 @@ def models(counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Log ratios against prose, by letters for each class and by shape; ``counts`` has prose, its shapes, and the classes' own finds."""
     letters, shaped = _examples()
 
-    def share(x: np.ndarray) -> np.ndarray:
-        return x / max(x.sum(), 1.0)
+    def share(x: np.ndarray, unseen: int = 0) -> np.ndarray:
+        return x / max(x.sum() + unseen, 1.0)
 
     own = counts[2:]
     mixed = []
     for k in range(len(CLASSES)):
         seed = share(letters[k])
         mixed.append((1 - OWN_WEIGHT) * seed + OWN_WEIGHT * share(own[k]) if own[k].sum() else seed)
-    ratio = np.log((np.stack(mixed) + FLOOR) / (share(counts[0]) + FLOOR))
-    shape_ratio = np.log((share(shaped) + FLOOR) / (share(counts[1]) + FLOOR))
+    ratio = np.log((np.stack(mixed) + FLOOR) / (share(counts[0], UNSEEN) + FLOOR))
+    shape_ratio = np.log((share(shaped) + FLOOR) / (share(counts[1], UNSEEN) + FLOOR))
     return np.clip(ratio, -CLIP, CLIP).astype(np.float32), np.clip(shape_ratio, -CLIP, CLIP).astype(np.float32)
 
 
