@@ -80,11 +80,15 @@ def _fold() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return low, tk.word_table() & ~digit, capital, digit
 
 
+#: Separators between two texts of a slice: more than half a window, so no window sees another text.
+_PAD = HALF_WINDOW + 1
+
+
 class Slice:
     """Some texts as code points, with code spans blanked: letters folded, and the shape of words."""
 
     def __init__(self, texts: list[str]):
-        p = np.frombuffer(("\x00".join(t.replace("\x00", " ") if "\x00" in t else t for t in texts) + "\x00").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        p = np.frombuffer(("\x00" * _PAD).join([*(t.replace("\x00", " ") if "\x00" in t else t for t in texts), ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
         breaks = (p == 0) | (p == 10)
         tick = np.flatnonzero(p == ord("`"))
         if len(tick):
@@ -113,7 +117,8 @@ class Slice:
         self.shape, self.shape_text = self._pair(form[(~letters | start) & (~digits | lead)])
 
     def _pair(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return p, np.cumsum(p == 0) - (p == 0)
+        ends = p == 0
+        return p, (np.cumsum(ends) - ends) // _PAD
 
     @staticmethod
     def grams(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,19 +134,30 @@ class Slice:
         return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64), ends[GRAM : n + GRAM] == ends[:n]
 
 
-def covered(p: np.ndarray, text: np.ndarray, key: np.ndarray, inside: np.ndarray, table: np.ndarray, half: int, least: float) -> np.ndarray:
-    """Whether each character lies in a gram whose window, within its text, is likelier residue than prose."""
-    n = len(p)
-    at = np.flatnonzero(inside)
-    total = np.concatenate(([0.0], np.cumsum(table[key[at]], dtype=np.float64)))
-    owner = text[at]
-    first, last = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
-    index = np.arange(len(at))
-    lo, hi = np.maximum(index - half, first), np.minimum(index + half + 1, last)
-    hot = np.zeros(n + 1, dtype=np.int64)
-    hot[at + 1] = (total[hi] - total[lo]) / (hi - lo) > least
-    run = np.cumsum(hot)
-    return run[1:] - run[np.maximum(np.arange(n) + 1 - GRAM, 0)] > 0
+def _window(x: np.ndarray, half: int, kind: type) -> np.ndarray:
+    """Sum of ``x`` over the window of ``half`` places to either side."""
+    n = len(x)
+    total = np.zeros(n + 2 * half + 1, dtype=kind)
+    np.cumsum(x, out=total[half + 1 : half + 1 + n], dtype=kind)
+    total[half + 1 + n :] = total[half + n] if n else 0
+    return total[2 * half + 1 :] - total[:n]
+
+
+def covered(key: np.ndarray, inside: np.ndarray, table: np.ndarray, half: int, least: float, seen: np.ndarray | None = None) -> np.ndarray:
+    """Whether each character lies in a gram whose window is likelier residue than prose; ``seen`` counts the grams of each window."""
+    seen = _window(inside, half, np.int32) if seen is None else seen
+    hot = (_window(table[key] * inside, half, np.float64) > least * seen) & inside
+    out = hot.copy()
+    for k in range(1, GRAM):
+        out[k:] |= hot[:-k]
+    return out
+
+
+@lru_cache(maxsize=1)
+def _delimiter() -> np.ndarray:
+    out = np.zeros(128, dtype=bool)
+    out[[ord(c) for c in DELIMITERS]] = True
+    return out
 
 
 def _longest(span: np.ndarray, text: np.ndarray, count: int, signs: np.ndarray | None) -> np.ndarray:
@@ -163,10 +179,11 @@ def judge(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     part = Slice(texts)
     p, text = part.plain, part.text
     key, inside = part.grams(p)
-    hot = np.stack([covered(p, text, key, inside, table, HALF_WINDOW, WINDOW_MEAN) for table in letters])
+    seen = _window(inside, HALF_WINDOW, np.int32)
+    hot = np.stack([covered(key, inside, table, HALF_WINDOW, WINDOW_MEAN, seen) for table in letters])
     some = hot.any(axis=0)
-    weight = ~np.isin(p, (0, 32, 9, 10, 13)) * 1.0
     breaks = (p == 0) | (p == 10)
+    weight = ~(breaks | (p == 32) | (p == 9) | (p == 13)) * 1.0
     line = np.cumsum(breaks) - breaks
     solid = weight > 0
     word = solid.copy()
@@ -178,9 +195,9 @@ def judge(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     share = np.stack([np.bincount(text, weights=weight * h, minlength=part.count) / size for h in hot])
     whole = np.bincount(text, weights=weight * some, minlength=part.count) / size
     key2, inside2 = part.grams(part.shape)
-    form = covered(part.shape, part.shape_text, key2, inside2, shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)
-    by_shape = _longest(form, part.shape_text, part.count, np.isin(part.shape, [ord(c) for c in DELIMITERS]))
-    named = _longest(covered(p, text, key, inside, letters[_NAMED], NAMED_HALF_WINDOW, SHAPE_MEAN), text, part.count, None)
+    form = covered(key2, inside2, shaped, SHAPE_HALF_WINDOW, SHAPE_MEAN)
+    by_shape = _longest(form, part.shape_text, part.count, _delimiter()[np.minimum(part.shape, 127)])
+    named = _longest(covered(key, inside, letters[_NAMED], NAMED_HALF_WINDOW, SHAPE_MEAN), text, part.count, None)
     return share, whole, np.maximum(by_shape, np.where(named >= NAMED_CHARS, named, 0)), part
 
 

@@ -89,6 +89,54 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == similar(rows, 3, 0.6, 40)
 
 
+def test_hot_shingles_are_split(spark, monkeypatch):
+    rows = near_rows(5)
+    whole = similar(rows, 3, 0.6, 40)
+    monkeypatch.setattr(neardup, "BLOCK_POSTINGS", 2)
+    df = spark.createDataFrame(rows, "id long, content string")
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == whole
+
+
+def test_no_key_holds_more_than_a_block():
+    """A shingle in a third of all postings: its blocks are even, and every pair of its postings meets once."""
+    rng = np.random.default_rng(3)
+    n, hot = 3_000, 1_000
+    token = np.concatenate((np.full(hot, 77), rng.integers(1_000, 1 << 40, n - hot)))
+    doc = rng.integers(0, 1 << 60, n)
+    log = np.where(token == 77, np.uint8(np.ceil(neardup.LOG_STEP * np.log2(1 + hot))), np.uint8(neardup.LOG_STEP))
+    neardup_block, neardup.BLOCK_POSTINGS = neardup.BLOCK_POSTINGS, 50
+    try:
+        at, key, role = neardup._blocked(token, doc, log)
+    finally:
+        neardup.BLOCK_POSTINGS = neardup_block
+    longer = Counter(key[role & 2 > 0].tolist())
+    assert max(longer.values()) <= 2 * 50
+    meets = Counter()
+    by_key = defaultdict(lambda: ([], []))
+    for a, k, r in zip(at.tolist(), key.tolist(), role.tolist()):
+        if token[a] == 77:
+            if r & 1:
+                by_key[k][0].append(a)
+            if r & 2:
+                by_key[k][1].append(a)
+    for left, right in by_key.values():
+        meets.update((a, b) for a in left for b in right)
+    assert len(meets) == hot * hot and set(meets.values()) == {1}
+
+
+def test_links_and_members_are_the_whole(spark):
+    rows = near_rows(6)
+    df = spark.createDataFrame(rows, "id long, content string")
+    members = {r["segment_id"]: (r["class_id"], r["copies"], r["expanded"]) for r in neardup.near_duplicate_members(df).collect()}
+    links = {(r["class_a"], r["class_b"]) for r in neardup.near_duplicate_links(df).collect()}
+    copies = defaultdict(set)
+    for i, (c, _, _) in members.items():
+        copies[c].add(i)
+    expanded = {(min(x, y), max(x, y)) for a, b in links for x in copies[a] for y in copies[b]} | {(x, y) for c in copies.values() for x in c for y in c if x < y}
+    assert expanded == similar(rows, 3, 0.6, 40)
+    assert all(n == len(copies[c]) and whole for c, n, whole in members.values())
+
+
 def test_large_classes_become_stars(spark, monkeypatch):
     monkeypatch.setattr(neardup, "EXPAND_CLASS", 3)
     text = " ".join(WORDS * 3)
@@ -251,9 +299,10 @@ def test_residue_of_other_makers():
 def test_residue_arrays_equal_plain_text():
     texts = ["Ab `c {{ d }}` EF 12 3`x", "", "`a\nb` g_H1", "ß ГД 9"]
     part = residue.Slice(texts)
-    back = "".join(map(chr, part.plain)).split("\x00")[:-1]
+    gap = "\x00" * residue._PAD
+    back = "".join(map(chr, part.plain)).split(gap)[:-1]
     assert back == ["ab " + " " * 11 + " ef 00 0`x", "", "`a\nb` g_h0", "ß гд 0"]
-    assert "".join(map(chr, part.shape)).split("\x00")[:-1] == ["a" + " " * 13 + "A 0 0`a", "", "`a\na` a_a0", "a A 0"]
+    assert "".join(map(chr, part.shape)).split(gap)[:-1] == ["a" + " " * 13 + "A 0 0`a", "", "`a\na` a_a0", "a A 0"]
 
 
 def test_failed_requests_are_no_cases(spark):
