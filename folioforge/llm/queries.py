@@ -15,6 +15,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "document_segments"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similar pairs of p1_found between classes of equal texts; with p1_members its complete form for classes of any size."""
+    return neardup.near_duplicate_links(table(spark, sf_dir, "document_segments"))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_members(table(spark, sf_dir, "document_segments"))
+
+
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per segment: its class among texts that share 0.8 of their five-word shingles."""
     return neardup.near_duplicate_classes(table(spark, sf_dir, "document_segments"))
@@ -86,7 +95,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_kinds": p3_kinds, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p1_members": p1_members, "p1_classes": p1_classes, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_kinds": p3_kinds, "p3_clean": p3_clean, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 _P1 = """
@@ -97,6 +106,35 @@ common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g =
 SELECT a AS segment_a, b AS segment_b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)
 """
 
+_P1_LINKS = """
+WITH s AS (SELECT min(id) AS id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM document_segments) GROUP BY content),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM s WHERE len(w) >= 40),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT a AS class_a, b AS class_b, round(c / (x.n + y.n - c), 6) AS similarity FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)
+"""
+
+_P1_MEMBERS = """
+WITH s AS (SELECT DISTINCT id, content FROM document_segments WHERE len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) >= 40),
+c AS (SELECT content, min(id) AS class_id, count(*) AS copies FROM s GROUP BY content)
+SELECT id AS segment_id, class_id, copies, copies <= 64 AS expanded FROM s JOIN c USING (content)
+"""
+
+#: Classes of the five-word, 0.8 rule: the least id reachable over the links, by rounds of the minimum.
+_P1_CLASSES = """
+WITH RECURSIVE s AS (SELECT DISTINCT id, content, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM document_segments WHERE length(content) > 0),
+f AS (SELECT content, min(id) AS first, any_value(w) AS w FROM s GROUP BY content),
+g AS (SELECT DISTINCT first, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM f WHERE len(w) >= 5),
+n AS (SELECT first, count(*) AS n FROM g GROUP BY first),
+common AS (SELECT a.first AS a, b.first AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.first <> b.first GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.first = a JOIN n y ON y.first = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT first, first FROM f UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+named AS (SELECT a AS first, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a AS first, count(*) AS links FROM links GROUP BY a)
+SELECT s.id AS segment_id, min(class_id) AS class_id, max(coalesce(links, 0)) AS links
+FROM s JOIN f USING (content) JOIN named ON named.first = f.first LEFT JOIN degree ON degree.first = f.first GROUP BY s.id
+"""
+
 _P9 = """
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
@@ -134,6 +172,9 @@ WITH site AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_links": _P1_LINKS,
+        "p1_members": _P1_MEMBERS,
+        "p1_classes": _P1_CLASSES,
         "p5_found": _P5,
         "p9_found": _P9,
         "p7_found": _P7_LINES + "SELECT id AS segment_id, line_no FROM found",
