@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         if before == (print_of["n"], print_of["h"]):
             break
         before = (print_of["n"], print_of["h"])
+    else:
+        raise RuntimeError(f"components weren't complete after {max_rounds} rounds")
     tops = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
