@@ -13,13 +13,15 @@ produce costs much.
 Paths that leave the clean state only once are scored for whole batches with
 prefix sums.  Clean is the best path exactly if no such span scores above zero,
 so only texts with one go through Viterbi.  Each labelled span then gets its
-state's inverse transform; this repeats for text that was garbled twice.
+state's inverse transform; this repeats until nothing is garbled or a round changes
+nothing, so text that was garbled several times comes back as a whole.
 
 U+FFFD, and what it becomes as UTF-8 read as GBK, is damage without an inverse.
 
 Defined results: null and empty texts are clean; repeated rows count once; a span
-that can't be decoded keeps its characters; the restored text of a document with
-damage without inverse still has that damage (``restored`` is false then).
+that can't be decoded keeps its characters; ``restored`` is true only if no garbled
+span and no damage without an inverse is left in the text that comes out; ``lost``
+counts such damage there, ``spans`` the garbled spans of the text as it was.
 """
 
 from __future__ import annotations
@@ -43,7 +45,6 @@ ASCII_LETTER_WORDS = 4.0
 UNLIKELY = 8.0
 #: Keeps a path from entering or leaving a state inside one sequence.
 WHOLE = 1000.0
-MAX_ROUNDS = 3
 
 #: (true encoding, wrong encoding) of the states.
 PAIRS = (
@@ -374,17 +375,26 @@ def _label_batches(model):
                 names = {i: sorted({"/".join(PAIRS[k]) for _, _, k in s}) for i, (s, _, _) in found.items()}
                 spans = {i: len(s) for i, (s, _, _) in found.items()}
                 todo = [i for i, (s, _, _) in found.items() if s]
-                for _ in range(MAX_ROUNDS):
+                left: set[int] = set()
+                before = {i: {texts[a + i]} for i in todo}
+                while todo:
+                    changed = []
                     for i in todo:
                         s, _, text = found[i]
                         for span in reversed(s):
                             text = text[: span[0]] + _pieces(text, span) + text[span[1] :]
-                        found[i][2] = text
-                    again = {todo[k]: s for k, s, _ in label([found[i][2] for i in todo], logp, likely)} if todo else {}
-                    todo = [i for i, s in again.items() if s]
-                    for i in todo:
-                        found[i][0] = again[i]
-                rows += [(ids[a + i], spans[i], n, names[i], text, n == 0 and text != texts[a + i]) for i, (_, n, text) in found.items()]
+                        # an inverse that brings back an earlier text would go on for ever
+                        if text in before[i]:
+                            left.add(i)
+                        else:
+                            before[i].add(text)
+                            found[i][2] = text
+                            changed.append(i)
+                    again = {changed[k]: (s, n) for k, s, n in label([found[i][2] for i in changed], logp, likely)} if changed else {}
+                    for i in changed:
+                        found[i][:2] = again.get(i, ([], 0))
+                    todo = [i for i in changed if found[i][0]]
+                rows += [(ids[a + i], spans[i], n, names[i], text, n == 0 and i not in left and text != texts[a + i]) for i, (_, n, text) in found.items()]
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "spans", "lost", "encodings", "text", "restored"])
