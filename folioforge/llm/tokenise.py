@@ -19,14 +19,16 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 1_024
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Texts longer than a chunk are cut; the chunks overlap by so many characters.
+CHUNK_CHARS, OVERLAP_CHARS = 4_096, 512
 #: A boundary this close to a chunk's end may depend on the text beyond it.
 END_GUARD = 8
 
@@ -40,21 +42,30 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def default_vocabulary() -> str:
+    """The vocabulary's file in the package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 @lru_cache(maxsize=4)
-def encoding(path: str = DEFAULT_VOCABULARY):
+def encoding(path: str | None = None):
     import tiktoken
 
-    return tiktoken.Encoding("folioforge", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    return tiktoken.Encoding("folioforge", pat_str=PATTERN, mergeable_ranks=_ranks(path or default_vocabulary()), special_tokens={})
 
 
-def decode_ids(ids: list[int], path: str = DEFAULT_VOCABULARY) -> bytes:
+def decode_ids(ids: list[int], path: str | None = None) -> bytes:
     by_rank = encoding(path)
     return b"".join(by_rank.decode_single_token_bytes(i) for i in ids)
 
 
-def _encode_batches(column: str, path: str):
+def _encode_batches(column: str, name: str):
+    """``name`` is the file that Spark brought to the worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(name))
         for batch in batches:
             at = batch.schema.get_field_index(column)
             ids = [enc.encode_ordinary(t) if t else [] for t in batch.column(at).to_pylist()]
@@ -88,9 +99,15 @@ def _boundary_batches(chunk_chars: int, overlap: int):
 
 
 def encode_corpus(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
 ) -> DataFrame:
-    """(``id_col``, ids): the token ids of each text, without special tokens."""
+    """(``id_col``, ids): the token ids of each text, without special tokens.
+
+    ``vocabulary`` is a file that the driver can read; Spark brings it to the workers.
+    """
+    vocabulary = vocabulary or default_vocabulary()
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    vocabulary = Path(vocabulary).name
     id_type = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = base.where(F.length("text") <= chunk_chars).mapInArrow(_encode_batches("text", vocabulary), f"row {id_type}, ids array<int>")
