@@ -39,31 +39,34 @@ _RUN = re.compile(rf"[^{BLANKS}]+")
 
 
 def parts(text: str, limit: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, level) of consecutive parts of at most ``limit`` characters."""
-    stack = [(0, len(text), 0)]
+    """(start, end, level of the boundary at the end) of consecutive parts of at most ``limit`` characters.
+
+    The level is the coarsest one at which the part was separated from the next.
+    """
+    stack = [(0, len(text), 0, 0)]
     while stack:
-        start, end, level = stack.pop()
+        start, end, level, after = stack.pop()
         if end - start <= limit:
-            yield start, end, max(level - 1, 0)
+            yield start, end, after
         elif level == len(_SEPARATORS):
             for at in range(start, end, limit):
-                yield at, min(at + limit, end), level
+                yield at, min(at + limit, end), level if at + limit < end else after
         else:
             ends = [m.end() for m in _SEPARATORS[level].finditer(text, start, end)]
             ends = [start, *(e for e in ends if start < e < end), end]
-            stack.extend((a, b, level + 1) for a, b in zip(ends[-2::-1], ends[:0:-1]))
+            stack.extend((a, b, level + 1, level if b < end else after) for a, b in zip(ends[-2::-1], ends[:0:-1]))
 
 
 def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, level of the cut at the end) of the pieces of ``text``."""
     overlap = max(0, min(overlap, size - 1))
     out: list[tuple[int, int, str]] = []
-    start = end = 0
+    start = end = cut = 0
     for _, stop, level in parts(text, size - overlap):
         if stop - start > size:
-            out.append((start, end, LEVELS[level]))
+            out.append((start, end, LEVELS[cut]))
             start = end - overlap
-        end = stop
+        end, cut = stop, level
     if end > start:
         out.append((start, end, "end"))
     return out
