@@ -1,17 +1,22 @@
 """Evaluation texts that leaked into a corpus (problem 9).
 
-The test items are the index: words with BM25 weights per item, items sorted
-into blocks, and for each word its largest weight in each block.  Every passage
-of the corpus is a query.  A passage is a window over a stretch of words that
-all occur in the index; windows overlap by ``run - 1`` words, so a shared run of
-``run`` words lies inside one window.  Retrieval is block-max pruned: a passage
-sums its words' block maxima, only blocks that reach their threshold are scored
-item by item, and only items that reach theirs are kept.  The threshold of an
-item is the least score of any of its runs of ``run`` words, so nothing that
-shares a run is lost.  What is kept is verified on the exact runs.
-
-All of it is evaluated set-at-a-time with arrays; no passage, document or item
-is skipped otherwise.
+The test items are an inverted index: for each word its postings, items with BM25
+weights, sorted into blocks of items, and the largest weight in each block.  Every
+passage of the corpus is a query.  A passage is a window over a stretch of words
+that all occur in the index; windows overlap by ``run - 1`` words, so a shared run
+of ``run`` words lies inside one window.
+
+Retrieval is block-max WAND.  The words of a passage are ordered by their largest
+weight; those up to the pivot can't reach the least threshold together, so only the
+postings of the words beyond it are walked and blocks in which none of them occurs
+are skipped.  The blocks that are met get the sum of their block maxima, looked up
+for the other words too; those that reach their threshold are scored item by item,
+and only items that reach theirs are kept.  The threshold of an item is the least
+score of any of its runs of ``run`` words, so nothing that shares a run is lost.
+What is kept is verified on the exact runs.
+
+It is evaluated for many passages at a time with arrays over the sparse postings; no
+passage, document or item is skipped otherwise.
 
 Defined results: null and empty texts and texts of fewer than ``run`` words leak
 nothing; items of fewer words can't be found; repeated documents and items count
@@ -34,11 +39,10 @@ RUN_WORDS = 13
 WINDOW = 64
 BLOCK_ITEMS = 16
 K1, B = 1.2, 0.75
-#: Characters of item text indexed at a time, and items at most.
-SHARD_CHARS = 4_000_000
-SHARD_ITEMS = 2_000
-#: Cells of the score arrays made at once in a worker.
-CELLS = 4_000_000
+#: Characters of item text indexed at a time; a shard's index takes about ten bytes for each.
+SHARD_CHARS = 16_000_000
+#: Postings that a worker walks at once.
+POSTINGS = 2_000_000
 
 
 class ItemIndex:
@@ -60,10 +64,17 @@ class ItemIndex:
         rarest = np.zeros(n)
         np.maximum.at(rarest, pair % n, idf[pair // n] * (1 + (pair // n) / (len(self.vocabulary) + 1.0)))
         self.place = np.argsort(np.argsort(rarest, kind="stable"), kind="stable")
+        self.width = n
+        # postings by word and place, and their block maxima by word and block
+        key = pair // n * n + self.place[pair % n]
+        order = np.argsort(key)
+        self.keys, self.weights = key[order], weight[order]
         self.blocks = -(-n // BLOCK_ITEMS)
-        self.weights = np.zeros((len(self.vocabulary), self.blocks * BLOCK_ITEMS), dtype=np.float32)
-        self.weights[pair // n, self.place[pair % n]] = weight
-        self.block_max = self.weights.reshape(len(self.vocabulary), self.blocks, BLOCK_ITEMS).max(axis=2)
+        block = self.keys // n * self.blocks + self.keys % n // BLOCK_ITEMS
+        self.block_keys, first = np.unique(block, return_index=True)
+        self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.block_first = np.searchsorted(self.block_keys, np.arange(len(self.vocabulary) + 1) * self.blocks)
+        self.top = np.maximum.reduceat(self.weights, np.searchsorted(self.keys, np.arange(len(self.vocabulary)) * n)) if len(first) else np.empty(0)
         self.threshold = np.full(self.blocks * BLOCK_ITEMS, np.inf)
         self.item_at = np.full(self.blocks * BLOCK_ITEMS, -1, dtype=np.int64)
         self.item_at[self.place] = np.arange(n)
@@ -71,9 +82,10 @@ class ItemIndex:
         for i in at:
             j = owner[i]
             distinct = np.unique(word[i : i + run])
-            least = self.weights[distinct, self.place[j]].astype(np.float64).sum() * (1 - 1e-4)
+            least = self.weights[np.searchsorted(self.keys, distinct * n + self.place[j])].sum() * (1 - 1e-9)
             self.threshold[self.place[j]] = min(self.threshold[self.place[j]], least)
         self.block_threshold = self.threshold.reshape(self.blocks, BLOCK_ITEMS).min(axis=1)
+        self.least = float(self.threshold.min(initial=np.inf))
         order = np.lexsort((owner[at], keys))
         self.run_keys, self.run_items = keys[order], owner[at][order]
 
@@ -97,47 +109,85 @@ class ItemIndex:
 
     def search(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, item) of every text that shares a run with an item."""
+        if not len(self.vocabulary) or not len(hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         word = np.where(self.vocabulary[at] == hashes, at, -1)
         first, last = self.passages(word, owner)
         texts, items = [], []
-        step = max(1, CELLS // (WINDOW * max(self.blocks, BLOCK_ITEMS)))
-        for a in range(0, len(first), step):
-            t, i = self._retrieve(word, owner, first[a : a + step], last[a : a + step], hashes)
+        # as many passages at a time as their words' postings allow
+        near = np.concatenate(([0], np.cumsum(np.where(word >= 0, np.diff(self.block_first)[np.maximum(word, 0)], 0))))
+        work = np.cumsum(near[last] - near[first]) if len(first) else np.empty(0)
+        a = 0
+        while a < len(first):
+            done = work[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(work, done + POSTINGS, "right")))
+            t, i = self._retrieve(word, owner, first[a:z], last[a:z], hashes)
             texts.append(t)
             items.append(i)
+            a = z
         if not texts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(texts), np.concatenate(items)
 
+    @staticmethod
+    def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The places of consecutive ranges, one after the other."""
+        return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+    @staticmethod
+    def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Values of the wanted keys in a sparse table, 0 where there are none."""
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
     def _retrieve(self, word, owner, first, last, hashes):
         size = last - first
         passage = np.repeat(np.arange(len(first)), size)
         spot = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size) + first[passage]
         terms = np.unique(passage * np.int64(len(self.vocabulary)) + word[spot])
         of, term = terms // len(self.vocabulary), terms % len(self.vocabulary)
-        begin = np.searchsorted(of, np.arange(len(first)))
-        bound = np.add.reduceat(self.block_max[term], begin, axis=0)
-        p, block = np.nonzero(bound >= self.block_threshold)
-        if not len(p):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        # score the items of the blocks that may reach their threshold
-        length = np.append(begin[1:], len(term))[p] - begin[p]
+        none = np.empty(0, np.int64)
+        # the pivot: words whose largest weights reach the least threshold only together with later ones
+        order = np.lexsort((self.top[term], of))
+        of, term = of[order], term[order]
+        begin = np.searchsorted(of, np.arange(len(first) + 1))
+        run = np.cumsum(self.top[term])
+        upto = run - np.concatenate(([0.0], run))[begin[of]]
+        beyond = np.flatnonzero(upto >= self.least)
+        if not len(beyond):
+            return none, none
+        # blocks in the postings of the words beyond it
+        count = self.block_first[term[beyond] + 1] - self.block_first[term[beyond]]
+        index = self._ranges(self.block_first[term[beyond]], count)
+        met = np.unique(np.repeat(of[beyond], count) * self.blocks + self.block_keys[index] % self.blocks)
+        p, block = met // self.blocks, met % self.blocks
+        # their sums of block maxima over all words of the passage
+        length = (begin[1:] - begin[:-1])[p]
+        words = self._ranges(begin[p], length)
         pair = np.repeat(np.arange(len(p)), length)
-        index = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length) + begin[p][pair]
-        by_block = self.weights.reshape(len(self.vocabulary), self.blocks, BLOCK_ITEMS)
-        hits_p, hits_place = [], []
-        bounds = np.cumsum(length)
-        step = max(1, CELLS // (WINDOW * BLOCK_ITEMS))
-        for a in range(0, len(p), step):
-            z = min(a + step, len(p))
-            lo, hi = bounds[a] - length[a], bounds[z - 1]
-            rows = by_block[term[index[lo:hi]], block[pair[lo:hi]]]
-            score = np.add.reduceat(rows, (np.cumsum(length[a:z]) - length[a:z]), axis=0)
-            r, c = np.nonzero(score >= self.threshold.reshape(self.blocks, BLOCK_ITEMS)[block[a:z]])
-            hits_p.append(p[a:z][r])
-            hits_place.append(block[a:z][r] * BLOCK_ITEMS + c)
-        hit_p, hit_item = np.concatenate(hits_p), self.item_at[np.concatenate(hits_place)]
+        bound = np.bincount(pair, weights=self._at(self.block_keys, self.block_max, term[words] * self.blocks + block[pair]), minlength=len(p))
+        keep = np.flatnonzero(bound >= self.block_threshold[block])
+        if not len(keep):
+            return none, none
+        # items of those blocks
+        p, block = np.repeat(p[keep], BLOCK_ITEMS), np.repeat(block[keep], BLOCK_ITEMS)
+        place = block * BLOCK_ITEMS + np.tile(np.arange(BLOCK_ITEMS), len(keep))
+        real = np.isfinite(self.threshold[place])
+        p, place = p[real], place[real]
+        hits = []
+        length = (begin[1:] - begin[:-1])[p]
+        total = np.cumsum(length)
+        a = 0
+        while a < len(p):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + POSTINGS, "right")))
+            words = self._ranges(begin[p[a:z]], length[a:z])
+            pair = np.repeat(np.arange(z - a), length[a:z])
+            score = np.bincount(pair, weights=self._at(self.keys, self.weights, term[words] * self.width + place[a:z][pair]), minlength=z - a)
+            hits.append(a + np.flatnonzero(score >= self.threshold[place[a:z]]))
+            a = z
+        hit = np.concatenate(hits) if hits else none
+        hit_p, hit_item = p[hit], self.item_at[place[hit]]
         if not len(hit_p):
             return hit_p, hit_item
         # verify on the exact runs of the retrieved passages
@@ -177,8 +227,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id) of every document that shares ``run`` consecutive words with an item."""
     spark = documents.sparkSession
     known = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    shards = max(1, -(-size["chars"] // SHARD_CHARS), -(-size["n"] // SHARD_ITEMS))
+    size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    shards = max(1, -(-size["chars"] // SHARD_CHARS))
     corpus = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     out = spark.createDataFrame([], "doc_id long, item_id long")
     for k in range(shards):
