@@ -366,8 +366,49 @@ def test_no_vectors(spark):
     assert hashknn.nearest(empty, empty).count() == 0
 
 
-def test_nearest_is_exact_where_hashing_misses(spark, monkeypatch):
-    monkeypatch.setattr(hashknn, "TABLES", 1)
+def test_exact_pairs_and_heavy_values(spark, monkeypatch):
+    """Many nearly equal vectors: their substring values are split, and the scan without an index finds the same pairs."""
+    rng = np.random.default_rng(8)
+    crowd = rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.02
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate((crowd, rng.normal(size=(200, 64)))).astype("float32"))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    expected = {(min(i, j), max(i, j)) for i, near in true_neighbours(rows, 10).items() for j, s in near if s >= 0.9}
+    exact = {tuple(r) for r in hashknn.similar_pairs_exact(df).collect()}
+    assert len(exact ^ expected) <= 0.01 * len(expected)
+    monkeypatch.setattr(hashknn, "HEAVY", 60)
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    bits, tables, _ = hashknn.index_shape(len(rows), 0.9)
+    rotations = hashknn.fit_rotations(unit, -(-tables * bits // 64)).astype(np.float32)
+    heavy = hashknn.heavy_values(unit, rotations, bits, tables, len(rows))
+    key, first = hashknn._codes(unit, rotations, bits, tables)
+    before = max(Counter(key.ravel().tolist()).values())
+    after = max(Counter(hashknn._split_heavy(key, first, heavy).ravel().tolist()).values())
+    assert len(heavy[0]) and after < before
+    got = {tuple(r) for r in hashknn.similar_pairs(df).collect()}
+    assert len(got & expected) >= 0.9 * len(expected)
+
+
+def test_the_radius_of_the_index():
+    """Codes that differ in fewer bits than there are substrings share one, and pass the bound; the edge's recall doesn't fall with size."""
+    for n in (100, 10**4, 10**6, 10**9):
+        bits, tables, bound = hashknn.index_shape(n, 0.9)
+        p = 1 - np.arccos(0.9) / np.pi
+        assert bound >= tables - 1 or bound == 64
+        assert 1 - (1 - p**bits) ** tables >= hashknn.EDGE_RECALL - 1e-9
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(50, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    bits, tables, bound = hashknn.index_shape(5_000, 0.9)
+    rotations = hashknn.fit_rotations(unit, -(-tables * bits // 64)).astype(np.float32)
+    near = np.concatenate((unit, unit + rng.normal(size=unit.shape) * 0.004))
+    code = ((near.astype(np.float32) @ rotations) > 0)[:, : tables * bits]
+    key, first = hashknn._codes(near / np.linalg.norm(near, axis=1, keepdims=True), rotations, bits, tables)
+    for k in range(50):
+        if (code[k] != code[50 + k]).sum() < tables:
+            assert (key[k] == key[50 + k]).any() and int(first[k] ^ first[50 + k]).bit_count() <= bound or bound == 64
+
+
+def test_nearest_is_exact_where_hashing_misses(spark):
     rng = np.random.default_rng(4)
     centres = np.repeat(rng.normal(size=(20, 64)), 30, axis=0)
     unit = centres / np.linalg.norm(centres, axis=1, keepdims=True) + rng.normal(size=centres.shape) * 0.03
@@ -401,6 +442,9 @@ def test_cuts_are_natural_where_they_can_be():
     text = "one two three. four five six.\n\nseven eight nine ten eleven"
     assert [text[a:b] for a, b, _ in splitting.pieces(text, 40, 0)] == ["one two three. four five six.\n\n", "seven eight nine ten eleven"]
     assert [level for _, _, level in splitting.pieces("a" * 25, 10, 0)] == ["character", "character", "end"]
+    # the level is that of the cut, not of what stands before or after it
+    assert [level for _, _, level in splitting.pieces("one two. three four.\n\n" + "five six seven eight. " * 3, 30, 0)] == ["paragraph", "sentence", "sentence", "end"]
+    assert [level for _, _, level in splitting.pieces("# A\nsome words here\n## B\n" + "b" * 30 + " c", 24, 0)] == ["section", "sentence", "character", "end"]
 
 
 def test_split_table(spark):
@@ -418,6 +462,14 @@ def test_split_table(spark):
 # ---- 7 lines of a site
 
 
+def test_lines_by_share(spark):
+    documents = spark.createDataFrame([(d, f"https://{'big' if d < 20 else 'small'}.example/{d}") for d in range(30)], "doc_id long, url string")
+    segments = spark.createDataFrame([(d, d, ("the same line everywhere\n" if d % 20 < 6 else "") + f"a line of its own {d}") for d in range(30)], "id long, document_id long, content string")
+    found = lambda **o: {r["segment_id"] for r in sitelines.repeated_lines(segments, documents, **o).collect()}
+    # six of twenty documents, and six of ten
+    assert found() == {*range(6), *range(20, 26)} and found(min_share=0.5) == set(range(20, 26))
+
+
 def test_repeated_lines_equal_brute_force(spark):
     rng = random.Random(2)
     common = ["All rights of this page are ours", "Subscribe to  our letter today", "short one"]
@@ -462,6 +514,18 @@ def test_stitched_encoding_is_the_encoding(spark):
     assert tokenise.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_documents_of_the_tables_are_stitched(spark, sf_dir):
+    """The tables' documents, and joins of several of them that are longer than a chunk of production size."""
+    base = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").where(F.length("text") > 1_000).collect()]
+    texts = dict(enumerate(base + ["\n\n".join(base[k : k + 8]) for k in range(0, len(base), 8)]))
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    enc = tokenise.encoding()
+    assert sum(len(t) > 2 * tokenise.CHUNK_CHARS for t in texts.values()) >= len(base) // 10
+    for options in ({}, {"chunk_chars": 1_500, "overlap": 200}):
+        got = {r["doc_id"]: list(r["ids"]) for r in tokenise.encode_corpus(documents, **options).collect()}
+        assert got == {i: enc.encode_ordinary(t) for i, t in texts.items()}
+
+
 def test_ids_equal_the_other_file_of_the_vocabulary():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -503,7 +567,8 @@ def test_leaks_equal_brute_force(spark, seed):
 
 
 def test_leaks_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "SHARD_ITEMS", 2)
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 200)
+    monkeypatch.setattr(leakage, "POSTINGS", 50)
     text = " ".join(WORDS[:15])
     items = spark.createDataFrame([(k, text if k == 4 else f"{text[:30]} {k}") for k in range(7)], "item_id long, text string")
     documents = spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")
@@ -552,6 +617,21 @@ def test_wrong_decodings_are_found_and_restored(spark):
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
 
 
+def test_text_garbled_many_times(spark):
+    text = CLEAN[0]
+    rows = [(100 * k + n, t + f" {k}") for k in range(12) for n, t in enumerate(CLEAN)]
+    deep = {}
+    for times in range(1, 7):
+        text = text.encode("utf-8").decode("latin-1")
+        deep[5_000 + times] = text
+    found = {r["doc_id"]: r for r in mojibake.garbled_documents(spark.createDataFrame(rows + list(deep.items()), "doc_id long, text string")).collect()}
+    assert set(found) == set(deep)
+    for i in deep:
+        # the flag says whether the original came out
+        assert found[i]["restored"] == (found[i]["text"] == CLEAN[0]), (i, found[i]["text"])
+    assert all(found[5_000 + k]["restored"] for k in range(1, 5))
+
+
 def test_best_span_equals_viterbi():
     rng = np.random.default_rng(1)
     for _ in range(50):
