@@ -65,6 +65,23 @@ def called_names(content: Column) -> Column:
     return F.filter(F.regexp_extract_all(content, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda x: ~x.isin("if", "for", "while", "with"))
 
 
+def identifiers(content: Column) -> Column:
+    """Array of struct(name, kind): functions, classes, methods and modules, in this order; functions and methods have three characters or more, functions no capital first."""
+
+    def named(pattern: str, kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("kind")))
+
+    functions = F.filter(named(r"\b(\w+)\s*\(", "function"), lambda x: (F.length(x["name"]) > 2) & ~x["name"].rlike("^[A-Z]"))
+    methods = F.filter(named(r"\.(\w+)\s*\(", "method"), lambda x: F.length(x["name"]) > 2)
+    return F.concat(functions, named(r"\bclass\s+(\w+)", "class"), methods, named(r"import\s+(\w+)", "module"))
+
+
+def clean_signature(text: Column) -> Column:
+    """White space as one blank, one blank after each comma and none before, a closing pilcrow dropped."""
+    one = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(one, r"\s*,\s*", ", "), r"¶\s*$", ""))
+
+
 def code_blocks(content: Column) -> Column:
     """Array of struct(language, code) of the fenced blocks."""
     pattern = F.lit(r"(?s)```(\w*)[^\n]*\n(.*?)```")

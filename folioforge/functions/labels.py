@@ -52,6 +52,28 @@ def complexity_levels(title: Column, content: Column, start: int = 500) -> Colum
     return _found(title, content, COMPLEXITY, start)
 
 
+# Signs of code that make a result without a level technical.
+CODE_SIGNS = ("class ", "def ", "function", "import", "from")
+
+
+def complexity(title: Column, content: Column, start: int = 500) -> Column:
+    """The levels joined by commas, else ``Technical (contains code)`` where the start of the content has code, else null."""
+    levels = complexity_levels(title, content, start)
+    return F.when(F.size(levels) > 0, F.array_join(levels, ", ")).when(contains_any(F.substring(content, 1, start), CODE_SIGNS), "Technical (contains code)")
+
+
+def reading_kinds(title: Column, content: Column) -> Column:
+    """The first four kinds of content in a document's title or first thousand characters."""
+    return _found(title, content, CONTENT_KINDS[:4], 1_000)
+
+
+def reading_level(title: Column, content: Column) -> Column:
+    """Beginner or Advanced by a document's title or first thousand characters, Technical by signs of code in them, else Intermediate."""
+    levels = _found(title, content, COMPLEXITY[:2], 1_000)
+    code = F.when(contains_any(F.lower(F.substring(content, 1, 1_000)), CODE_SIGNS), "Technical")
+    return F.coalesce(F.try_element_at(levels, F.lit(1)), code, F.lit("Intermediate"))
+
+
 def relevance_band(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.6, "medium").otherwise("basic")
 

@@ -69,6 +69,11 @@ def preview(content: Column, size: int = 100) -> Column:
     return F.when(F.length(plain) > size, F.concat(F.substring(plain, 1, size), F.lit("..."))).otherwise(plain)
 
 
+def result_preview(content: Column, size: int = 200) -> Column:
+    """The start of a result's content as it stands, with an ellipsis where it goes on."""
+    return F.when(F.length(content) > size, F.concat(F.substring(content, 1, size), F.lit("..."))).otherwise(content)
+
+
 def clean_lines(content: Column) -> Column:
     """Lines trimmed, empty ones dropped."""
     return F.array_join(F.filter(F.transform(F.split(content, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != ""), "\n")

@@ -31,10 +31,24 @@ def path_version(of: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(of, f"({p})", 1), F.lit("")) for p in VERSION_PATHS))
 
 
+# Forms of a version in a URL, in order.
+URL_VERSIONS = (
+    r"/v?(\d+\.\d+(?:\.\d+)?(?:\.\d+)?)",
+    r"/(\d+\.\d+(?:\.\d+)?(?:\.\d+)?)/",
+    r"version[=/](\d+\.\d+(?:\.\d+)?)",
+    r"tag[=/]v?(\d+\.\d+(?:\.\d+)?)",
+)
+
+
 def url_version(url: Column) -> Column:
-    """Version number in a URL, else null."""
-    forms = (r"/v?(\d+\.\d+(?:\.\d+)?)(?:/|$)", r"/(\d+\.\d+)/", r"version[=/](\d+\.\d+(?:\.\d+)?)", r"/v(\d+)(?:/|$)")
-    return F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in forms))
+    """Version number in a URL by the first form that it has, in any case, else null."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(url, f"(?i){p}", 1), F.lit("")) for p in URL_VERSIONS))
+
+
+def repository_document(path: Column) -> Column:
+    """Whether a file of a repository is documentation: below ``docs/`` or Markdown or reStructuredText, but not the top readme."""
+    low = F.lower(path)
+    return (low.startswith("docs/") | low.endswith(".md") | low.endswith(".rst")) & (low != "readme.md")
 
 
 def document_score(of: Column) -> Column:

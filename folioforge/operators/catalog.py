@@ -187,3 +187,167 @@ def version_history(documents: DataFrame) -> DataFrame:
     page_of = F.regexp_replace(F.lower("url"), r"/v?\d+(\.\d+)*(?=/|$)|/(stable|latest)(?=/|$)", "")
     order = Window.partitionBy("page").orderBy(F.desc_nulls_last("scraped_at"), F.desc("doc_id"))
     return documents.withColumn("page", page_of).select("page", "doc_id", "version", "scraped_at", (F.row_number().over(order) == 1).alias("is_latest"))
+
+
+# updates and caching
+
+
+def check_due(last_checked: Column, as_of: Column, days: Column | int = 7) -> Column:
+    """Whether a document has to be checked again: never checked, or not within its number of days."""
+    days = F.lit(days) if isinstance(days, int) else F.coalesce(days, F.lit(7))
+    return F.coalesce(freshness.age_seconds(last_checked, as_of) >= days * freshness.DAY, F.lit(True))
+
+
+def pending_updates(documents: DataFrame, checks: DataFrame) -> DataFrame:
+    """Documents with an update waiting, last checked first; ``checks`` has (document_id, needs_update, latest_available_version, last_checked)."""
+    wanted = documents.where(F.coalesce("check_for_updates", F.lit(False)))
+    waiting = checks.where(F.coalesce("needs_update", F.lit(False))).select(F.col("document_id").alias("doc_id"), "latest_available_version", "last_checked")
+    return wanted.join(waiting, "doc_id").orderBy(F.desc_nulls_last("last_checked"), "doc_id")
+
+
+def mark_checked(documents: DataFrame, ids: Column, as_of: Column) -> DataFrame:
+    """Sets ``last_checked`` of the rows that ``ids`` names, and their status by age."""
+    checked = F.when(ids, as_of).otherwise(F.col("last_checked"))
+    return documents.withColumn("last_checked", checked).withColumn("staleness_status", freshness.cache_status(F.col("last_checked"), as_of, F.coalesce("is_pinned", F.lit(False))))
+
+
+def mark_updated(documents: DataFrame, ids: Column, as_of: Column) -> DataFrame:
+    """The named rows were fetched anew: scraped and checked now, fresh."""
+    for column in ("scraped_at", "last_checked"):
+        documents = documents.withColumn(column, F.when(ids, as_of).otherwise(F.col(column)))
+    return documents.withColumn("staleness_status", F.when(ids, F.lit("fresh")).otherwise(F.col("staleness_status")))
+
+
+def pin(documents: DataFrame, ids: Column, pinned: bool = True) -> DataFrame:
+    """Pins rows, which keeps them fresh, or lets them go."""
+    documents = documents.withColumn("is_pinned", F.when(ids, F.lit(pinned)).otherwise(F.col("is_pinned")))
+    return documents.withColumn("staleness_status", F.when(F.coalesce("is_pinned", F.lit(False)), F.lit("fresh")).otherwise(F.col("staleness_status")))
+
+
+def update_staleness(documents: DataFrame, as_of: Column) -> DataFrame:
+    """``staleness_status`` of every row by its last check."""
+    return documents.withColumn("staleness_status", freshness.cache_status(F.col("last_checked"), as_of, F.coalesce("is_pinned", F.lit(False))))
+
+
+def vector_cache(entries: DataFrame, as_of: Column, keep_seconds: int) -> DataFrame:
+    """Entries, valid and expired ones, and bytes of a cache of (created_at, vector) with four bytes a value."""
+    valid = F.coalesce(freshness.age_seconds(F.col("created_at"), as_of) < keep_seconds, F.lit(False))
+    size = F.when(F.col("vector").isNotNull(), F.size("vector")).otherwise(0) * 4
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("expired"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
+
+
+def without_context(documents: DataFrame, segments: DataFrame, context: Column) -> DataFrame:
+    """Documents with a segment that has no context, or without segments; ``context`` reads a segment."""
+    lacking = segments.select(F.col("document_id").alias("doc_id"), context.isNull().alias("lacks")).groupBy("doc_id").agg(F.max("lacks").alias("lacks"))
+    return documents.select("doc_id", "title").join(lacking, "doc_id", "left").where(F.coalesce("lacks", F.lit(True))).select("doc_id", "title").distinct().orderBy("doc_id")
+
+
+def context_models(segments: DataFrame, context: Column, model: Column) -> DataFrame:
+    """(model, documents, segments): where the contexts come from, and all of them together (model null)."""
+    have = segments.where(context.isNotNull()).select("id", "document_id", model.alias("model"))
+    one = have.groupBy("model").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("id").alias("segments"))
+    every = have.agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("id").alias("segments"), F.count_distinct("model").alias("models"))
+    return one.where(F.col("model").isNotNull()).withColumn("models", F.lit(1).cast("long")).unionByName(every.select(F.lit(None).cast("string").alias("model"), "documents", "segments", "models"))
+
+
+def store_summary(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """Documents, segments, segments a document on average, and the share of segments with a vector."""
+    one = segments.groupBy("id").agg(F.max(F.when(F.size("embedding") > 0, 1).otherwise(0)).alias("has"))
+    counts = one.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("has"), F.lit(0)).alias("with_vector"))
+    docs = documents.agg(F.count_distinct("doc_id").alias("documents"))
+    share = lambda a, b, times: F.when(b > 0, F.round(a * times / b, 2)).otherwise(F.lit(0.0))
+    both = docs.join(F.broadcast(counts))
+    return both.select("documents", "segments", share(F.col("segments"), F.col("documents"), 1.0).alias("per_document"), share(F.col("with_vector"), F.col("segments"), 100.0).alias("coverage_percent"))
+
+
+def recent_documents(documents: DataFrame, limit: int = 5) -> DataFrame:
+    return documents.orderBy(F.desc_nulls_last("scraped_at"), "doc_id").limit(limit)
+
+
+# llms.txt resources
+
+
+def search_resources(resources: DataFrame, documents: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """Resources (document_id, title, description, url) with the text in title or description, beside their document."""
+    low = F.lit(text.lower())
+    hit = F.contains(F.lower(F.coalesce("title", F.lit(""))), low) | F.contains(F.lower(F.coalesce("description", F.lit(""))), low)
+    parents = documents.select(F.col("doc_id").alias("document_id"), F.col("title").alias("document_title"), F.col("url").alias("document_url"))
+    return resources.where(hit).join(parents, "document_id").orderBy("title", "document_id", "url").limit(limit)
+
+
+def documents_with_resources(documents: DataFrame, metadata: DataFrame, limit: int = 20) -> DataFrame:
+    """Documents with an llms.txt and what it says of itself, newest first; ``metadata`` has (document_id, llms_title, llms_summary)."""
+    told = metadata.select(F.col("document_id").alias("doc_id"), "llms_title", "llms_summary")
+    return documents.join(told, "doc_id").orderBy(F.desc_nulls_last("scraped_at"), "doc_id").limit(limit)
+
+
+# encoded columns
+
+
+def tags_to_json(tags: Column) -> Column:
+    """A list of tags as JSON text; null stays null."""
+    return F.to_json(tags)
+
+
+def tags_from_json(text: Column) -> Column:
+    """The list of tags of JSON text; null, blank and malformed text give the empty list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def text_values(metadata: dict[str, Column]) -> Column:
+    """Metadata of any types as a map of texts: texts as they are, other values as JSON where they are nested; nulls are left out."""
+    keys, values = [], []
+    for key, value in metadata.items():
+        keys.append(F.lit(key))
+        values.append(value.cast("string"))
+    return F.map_filter(F.map_from_arrays(F.array(*keys), F.array(*values)), lambda k, v: v.isNotNull())
+
+
+class Select:
+    """A query on a DataFrame, part by part; conditions must all hold, columns and directions are checked."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.found, self.keys, self.sums, self.sorts, self.shown, self.first = rows, FilterSet(), [], [], [], [], None
+
+    def columns(self, *names: str) -> Select:
+        self.shown += [require_column(n) for n in names]
+        return self
+
+    def where(self, column: str, operator: str, value) -> Select:
+        self.found.where(column, operator, value)
+        return self
+
+    def where_in(self, column: str, values: list) -> Select:
+        self.found.among(column, values)
+        return self
+
+    def join(self, other: DataFrame, on: str, how: str = "inner") -> Select:
+        self.rows = self.rows.join(other, on, how)
+        return self
+
+    def group_by(self, *names: str, **aggregates: Column) -> Select:
+        self.keys += [require_column(n) for n in names]
+        self.sums += [c.alias(n) for n, c in aggregates.items()]
+        return self
+
+    def order_by(self, column: str, direction: str = "asc") -> Select:
+        if direction.lower() not in ("asc", "desc"):
+            raise ValueError(f"unknown direction {direction!r}")
+        self.sorts.append(F.asc_nulls_first(column) if direction.lower() == "asc" else F.desc_nulls_last(column))
+        return self
+
+    def limit(self, n: int) -> Select:
+        self.first = n
+        return self
+
+    def build(self) -> DataFrame:
+        out = self.rows.where(self.found.column())
+        if self.keys:
+            out = out.groupBy(*self.keys).agg(*(self.sums or [F.count(F.lit(1)).alias("rows")]))
+        elif self.shown:
+            # sort columns needn't be shown
+            out = out.orderBy(*self.sorts) if self.sorts else out
+            out = out.select(*self.shown)
+            return out if self.first is None else out.limit(self.first)
+        out = out.orderBy(*self.sorts) if self.sorts else out
+        return out if self.first is None else out.limit(self.first)

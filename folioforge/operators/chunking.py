@@ -176,25 +176,59 @@ def section_packs(segments: DataFrame, size: int) -> DataFrame:
     """
     lengths = segments.select("document_id", "id", "section_path", F.length("content").alias("n")).distinct()
     per_doc = lengths.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("section_path", F.lit("")).alias("p"), "id", "n"))).alias("s"))
-    zero = F.struct(F.lit(1).alias("chunk"), F.lit(0).alias("held"), F.lit(0).alias("count"), F.array().cast("array<struct<id:bigint,chunk:int>>").alias("out"))
+    # the fold carries what a chunk holds and where chunks start; sections aren't copied at each step
+    zero = F.struct(F.lit(0).alias("held"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
 
     def step(acc, x):
-        fresh = (acc["held"] + x["n"] > size) & (acc["count"] > 0)
-        chunk = F.when(fresh, acc["chunk"] + 1).otherwise(acc["chunk"])
+        fresh = (acc["held"] + x["n"] > size) & (acc["at"] > 0)
         return F.struct(
-            chunk.alias("chunk"),
-            F.when(fresh, x["n"]).otherwise(acc["held"] + x["n"]).alias("held"),
-            (acc["count"] + 1).alias("count"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), chunk.alias("chunk")))).alias("out"),
+            F.when(fresh, x["n"]).otherwise(acc["held"] + x["n"]).alias("held"), (acc["at"] + 1).alias("at"), F.when(fresh, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts")
         )
 
-    packed = per_doc.select("document_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select("document_id", F.col("o.id").alias("id"), F.col("o.chunk").alias("chunk_number"))
+    starts = per_doc.select("document_id", "s", F.aggregate("s", zero, step, lambda a: a["starts"]).alias("starts"))
+    ranges = starts.select("document_id", "s", F.posexplode("starts").alias("k", "start"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("s"))).alias("ends"))
+    packed = ranges.select("document_id", (F.col("k") + 1).alias("chunk_number"), F.explode(F.slice("s", F.col("start") + 1, F.element_at("ends", F.col("k") + 1) - F.col("start"))).alias("o"))
+    packed = packed.select("document_id", F.col("o.id").alias("id"), "chunk_number")
     order = Window.partitionBy("document_id", "chunk_number").orderBy(F.coalesce("section_path", F.lit("")), "id", "n").rowsBetween(Window.unboundedPreceding, -1)
     return packed.join(lengths, ["document_id", "id"]).select(
         "document_id", "id", "section_path", "chunk_number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), (F.coalesce(F.sum("n").over(order), F.lit(0)) + F.col("n")).alias("end")
     )
 
 
+def section_spans(segments: DataFrame, size: int) -> DataFrame:
+    """(document_id, id, section_path, start, end, chunk_numbers, primary_chunk): which chunks of a fixed size each section lies in, in lexical path order.
+
+    An empty section lies in no chunk; its primary chunk is 1.
+    """
+    lengths = segments.select("document_id", "id", F.coalesce("section_path", F.lit("")).alias("section_path"), F.length("content").cast("long").alias("n")).distinct()
+    order = Window.partitionBy("document_id").orderBy("section_path", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lengths.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    first, last = F.expr(f"start div {size} + 1"), F.expr(f"(start + n - 1) div {size} + 1")
+    chunks = F.when(F.col("n") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return placed.select("document_id", "id", "section_path", "start", (F.col("start") + F.col("n")).alias("end"), chunks.alias("chunk_numbers"), F.when(F.col("n") > 0, first).otherwise(F.lit(1)).cast("long").alias("primary_chunk"))
+
+
+def sections_in_chunk(index: DataFrame, chunk_number: int) -> DataFrame:
+    """(document_id, id, section_path) of the sections of an index (``section_packs`` or ``section_spans``) that lie in a chunk."""
+    inside = F.array_contains("chunk_numbers", F.lit(chunk_number).cast("long")) if "chunk_numbers" in index.columns else F.col("chunk_number") == chunk_number
+    return index.where(inside).select("document_id", "id", "section_path")
+
+
+def section_chunk(index: DataFrame, document_id: int, path: str) -> DataFrame:
+    """(id, primary_chunk) of a section of an index."""
+    primary = F.col("primary_chunk") if "primary_chunk" in index.columns else F.col("chunk_number")
+    return index.where((F.col("document_id") == document_id) & (F.col("section_path") == path)).select("id", primary.alias("primary_chunk"))
+
+
+def chunk_navigation(packs: DataFrame) -> DataFrame:
+    """(document_id, id, section_path, chunk, prev_path, prev_chunk, next_path, next_chunk) in lexical path order, of ``section_packs``."""
+    order = Window.partitionBy("document_id").orderBy(F.coalesce("section_path", F.lit("")), "id", "start")
+    near = lambda c, step: (F.lag(c) if step < 0 else F.lead(c)).over(order)
+    return packs.select(
+        "document_id", "id", "section_path", F.col("chunk_number").alias("chunk"), near("section_path", -1).alias("prev_path"), near("chunk_number", -1).alias("prev_chunk"), near("section_path", 1).alias("next_path"), near("chunk_number", 1).alias("next_chunk")
+    )
+
+
 def section_chunks(segments: DataFrame, size: int) -> DataFrame:
     """One row per packed chunk: path range, neighbours, content with headings; ``hybrid`` where it is far beyond the size."""
     packs = section_packs(segments, size)

@@ -134,9 +134,8 @@ def _loops(sizes: DataFrame, links: DataFrame) -> DataFrame | None:
 def nested_sets(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", with_path: bool = False) -> DataFrame:
     """(id, root_id, depth, size, lo[, path]) of every id; see the module text for the defined results.
 
-    ``path`` is the array of ids from the root down to the node itself, so its
-    elements are the node's ancestors and exploding it gives every
-    ancestor-descendant pair without joining a tree with itself.
+    ``path`` is the array of ids from the root down to the node itself; it has as many
+    elements as the node is deep, so ask for it only where paths are wanted.
     """
     links = cut(_links(df, id_col, parent_col), "links")
     sizes, rounds = _sizes_upward(links)
@@ -153,11 +152,29 @@ def nested_sets(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id"
     return out
 
 
-def descendants(sets: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance) of every pair, from ``nested_sets(..., with_path=True)``."""
-    return (
-        sets.where(F.col("path").isNotNull())
-        .select(F.col("id").alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor_id"))
-        .select("ancestor_id", "descendant_id", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))
-        .where(F.col("distance") > 0)
-    )
+def descendants(sets: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """(ancestor_id, descendant_id, distance) of every pair, from the ranges of ``nested_sets``.
+
+    The subtree of a node is the range ``(lo, lo + size)`` of its root.  A range is
+    the disjoint union of at most two aligned blocks of each power of two, and a
+    place lies in one block of each, so the range join is an equality join on (root,
+    block): every pair meets exactly once, and nothing else meets.  ``ancestors``
+    (column ``id``) keeps the descendants of some nodes only.
+    """
+    nodes = cut(sets.where(F.col("lo").isNotNull()).select("id", "root_id", "depth", "size", "lo"), "ranges")
+    asked = nodes.where(F.col("size") > 1)
+    if ancestors is not None:
+        asked = asked.join(ancestors.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("size"))).cast("int"))
+    wide = asked.select("id", "root_id", "depth", (F.col("lo") + 1).alias("s"), (F.col("lo") + F.col("size")).alias("e"), F.explode(levels).alias("level"))
+    wide = wide.select("id", "root_id", "depth", "level", F.expr("shiftright(s + shiftleft(1L, level) - 1, level)").alias("l"), F.expr("shiftright(e, level)").alias("r")).where(F.col("l") < F.col("r"))
+    pieces = F.filter(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)), lambda b: b.isNotNull())
+    wide = wide.select(F.col("id").alias("ancestor_id"), "root_id", F.col("depth").alias("above"), "level", F.explode(pieces).alias("block"))
+    # at most 63 values
+    used = sorted(r["level"] for r in wide.select("level").distinct().collect())
+    if not used:
+        return wide.select("ancestor_id", F.col("ancestor_id").alias("descendant_id"), F.lit(0).cast("long").alias("distance"))
+    # a root lies in no range
+    places = nodes.where(F.col("lo") > 0).select(F.col("id").alias("descendant_id"), "root_id", F.col("depth").alias("below"), "lo", F.explode(F.array(*[F.lit(k) for k in used])).alias("level"))
+    places = places.select("descendant_id", "root_id", "below", "level", F.expr("shiftright(lo, level)").alias("block"))
+    return wide.join(places, ["root_id", "level", "block"]).select("ancestor_id", "descendant_id", (F.col("below") - F.col("above")).cast("long").alias("distance"))

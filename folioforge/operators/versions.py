@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIFF_SCHEMA = "old_id long, new_id long, similarity double, added int, removed int, added_functions int, removed_functions int, change string"
+DIFF_SCHEMA = "old_id long, new_id long, similarity double, line_similarity double, added int, removed int, added_functions int, removed_functions int, change string"
 
 
-def compare(old: str, new: str) -> tuple[float, int, int, int, int, str]:
-    """(similarity by characters of lines, lines added, removed, functions added, removed, in words)."""
+def compare(old: str, new: str) -> tuple[float, float, int, int, int, int, str]:
+    """(similarity by characters, share of characters in equal lines, lines added, removed, functions added, removed, in words)."""
     if old == new:
-        return 1.0, 0, 0, 0, 0, "no significant changes"
+        return 1.0, 1.0, 0, 0, 0, 0, "no significant changes"
     a, b = old.splitlines(), new.splitlines()
     matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
     added, removed, same = [], [], 0
@@ -28,7 +28,7 @@ def compare(old: str, new: str) -> tuple[float, int, int, int, int, str]:
     total = sum(map(len, a)) + sum(map(len, b))
     functions = [sum("def " in x or "function " in x for x in lines) for lines in (added, removed)]
     parts = [f"{word} {n} {what}" for word, n, what in (("added", len(added), "lines"), ("removed", len(removed), "lines"), ("added", functions[0], "functions"), ("removed", functions[1], "functions")) if n]
-    return (2 * same / total if total else 1.0), len(added), len(removed), *functions, "; ".join(parts) or "no significant changes"
+    return difflib.SequenceMatcher(None, old, new).ratio(), (2 * same / total if total else 1.0), len(added), len(removed), *functions, "; ".join(parts) or "no significant changes"
 
 
 def _diff_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,11 +38,20 @@ def _diff_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def consecutive(documents: DataFrame) -> DataFrame:
-    """(old_id, new_id, old_text, new_text): each page's versions in order of scraping."""
+    """(old_id, new_id, old_text, new_text): each page's versions in order of scraping.
+
+    Only ids and hashes of the texts are ordered; texts are joined where they differ,
+    and of equal ones just one is, so what didn't change isn't moved twice.
+    """
     page_of = F.regexp_replace(F.lower("url"), r"/v?\d+(\.\d+)*(?=/|$)|/(stable|latest)(?=/|$)", "")
     order = Window.partitionBy("page").orderBy(F.asc_nulls_first("scraped_at"), "doc_id")
-    rows = documents.select("doc_id", "text", "scraped_at", page_of.alias("page"))
-    return rows.select(F.lag("doc_id").over(order).alias("old_id"), F.col("doc_id").alias("new_id"), F.lag("text").over(order).alias("old_text"), F.col("text").alias("new_text")).where(F.col("old_id").isNotNull())
+    ids = documents.select("doc_id", "scraped_at", page_of.alias("page"), F.xxhash64("text").alias("hash"))
+    pairs = ids.select(F.lag("doc_id").over(order).alias("old_id"), F.col("doc_id").alias("new_id"), F.lag("hash").over(order).alias("old_hash"), F.col("hash").alias("new_hash")).where(F.col("old_id").isNotNull())
+    same = pairs.where(F.col("old_hash") == F.col("new_hash")).select("old_id", "new_id", F.lit("").alias("old_text"), F.lit("").alias("new_text"))
+    changed = pairs.where(F.col("old_hash") != F.col("new_hash"))
+    texts = documents.select("doc_id", "text")
+    both = changed.join(texts.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old_text")), "old_id").join(texts.select(F.col("doc_id").alias("new_id"), F.col("text").alias("new_text")), "new_id")
+    return both.select("old_id", "new_id", "old_text", "new_text").unionByName(same)
 
 
 def differences(pairs: DataFrame) -> DataFrame:

@@ -41,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster's own setting wins; only a session without one (tests, local
-    runs) gets a temporary folder, and that is then recorded in the session.
+    The cluster's own setting wins.  Only a local session without one gets a
+    temporary folder, which is then recorded in the session; elsewhere a folder of
+    one machine would lose what other machines wrote, so that is an error.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")

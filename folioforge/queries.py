@@ -61,7 +61,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select(F.col("id").alias("segment_id"), "root_id", F.col("depth").cast("int").alias("depth"))
 
 
-@register()
+@register(
+    _WALK
+    + """
+, last AS (SELECT id, nxt, depth, seen FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC) = 1),
+tree AS (SELECT id, list_reverse(seen) AS path, depth FROM last WHERE nxt IS NULL),
+placed AS (SELECT id, path[1] AS root_id, depth, path, row_number() OVER (PARTITION BY path[1] ORDER BY path) - 1 AS lo FROM tree),
+sizes AS (SELECT a AS id, count(*) AS size FROM (SELECT unnest(path) AS a FROM tree) GROUP BY 1),
+stored AS (SELECT id, min(section_path) AS section_path FROM document_segments GROUP BY id)
+SELECT id AS segment_id, root_id, depth::BIGINT AS depth, size, lo, array_to_string(path, '/') AS full_path, section_path FROM placed JOIN sizes USING (id) JOIN stored USING (id)
+UNION ALL SELECT id, list_min(seen[list_position(seen, nxt):]), -1, NULL, NULL, NULL, section_path FROM last JOIN stored USING (id) WHERE nxt IS NOT NULL
+"""
+)
 def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full path, subtree size and preorder range of each segment, beside its stored section path."""
     segments = table(spark, sf_dir, "document_segments")
@@ -78,7 +89,7 @@ SELECT w.seen[-1] AS ancestor_id, w.id AS descendant_id, w.depth::BIGINT AS dist
 """
 )
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.nested_sets(table(spark, sf_dir, "document_segments"), "id", "parent_segment_id", with_path=True))
+    return hierarchy.descendants(hierarchy.nested_sets(table(spark, sf_dir, "document_segments"), "id", "parent_segment_id"))
 
 
 # ---- text search
@@ -844,10 +855,13 @@ def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.next_versions(table(spark, sf_dir, "documents"))
 
 
-@register("SELECT doc_id, nullif(regexp_extract(url, '/v?(\\d+\\.\\d+(?:\\.\\d+)?)(?:/|$)', 1), '') AS number FROM documents WHERE regexp_matches(url, '/v?(\\d+\\.\\d+(?:\\.\\d+)?)(?:/|$)')")
+@register(
+    """SELECT doc_id, coalesce(nullif(regexp_extract(url, '(?i)/v?(\\d+\\.\\d+(?:\\.\\d+)?(?:\\.\\d+)?)', 1), ''), nullif(regexp_extract(url, '(?i)/(\\d+\\.\\d+(?:\\.\\d+)?(?:\\.\\d+)?)/', 1), ''),
+nullif(regexp_extract(url, '(?i)version[=/](\\d+\\.\\d+(?:\\.\\d+)?)', 1), ''), nullif(regexp_extract(url, '(?i)tag[=/]v?(\\d+\\.\\d+(?:\\.\\d+)?)', 1), '')) AS number FROM documents"""
+)
 def url_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("url").rlike(r"/v?(\d+\.\d+(?:\.\d+)?)(?:/|$)"))
-    return rows.select("doc_id", urls.url_version(F.col("url")).alias("number"))
+    """Version in each document's URL; null where there is none, as in all of these tables (``versioned_urls`` has some)."""
+    return table(spark, sf_dir, "documents").select("doc_id", urls.url_version(F.col("url")).alias("number"))
 
 
 @register("SELECT doc_id, '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '') AS body FROM documents")
@@ -919,6 +933,9 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+from folioforge import queries_more  # noqa: E402, F401  registers further queries in the same table
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in REGISTRY.items()}
 

@@ -264,8 +264,8 @@ def test_summary():
 
 
 def test_version_differences(spark):
-    assert versions.compare("a\nb", "a\nb") == (1.0, 0, 0, 0, 0, "no significant changes")
-    similarity, added, removed, more, less, words = versions.compare("a\ndef f():\n", "a\nb\nc\n")
+    assert versions.compare("a\nb", "a\nb") == (1.0, 1.0, 0, 0, 0, 0, "no significant changes")
+    ratio, similarity, added, removed, more, less, words = versions.compare("a\ndef f():\n", "a\nb\nc\n")
     assert (added, removed, more, less, words) == (2, 1, 0, 1, "added 2 lines; removed 1 lines; removed 1 functions") and 0 < similarity < 1
     df = spark.createDataFrame([(1, "1.2"), (2, "v3"), (3, "latest"), (4, None)], "doc_id long, version string")
     got = {(r["doc_id"], r["candidate"]) for r in versions.next_versions(df).collect()}

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.operators.components import connected_components
 from folioforge.operators.hierarchy import descendants, nested_sets
@@ -62,6 +63,15 @@ def test_long_chain(spark):
     check(spark, [(i, i - 1 if i else None) for i in range(40)])
 
 
+def test_chain_of_a_hundred_thousand(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("id", "case when id > 0 then id - 1 end as parent_id")
+    sets = nested_sets(chain, "id", "parent_id")
+    asked = spark.createDataFrame([(0,), (n // 2,), (n - 3,), (n - 1,), (n + 5,)], "id long")
+    found = descendants(sets, asked).groupBy("ancestor_id").agg(F.count("*"), F.min("descendant_id"), F.max("distance"), F.count_distinct("descendant_id")).collect()
+    assert {tuple(r) for r in found} == {(a, n - 1 - a, a + 1, n - 1 - a, n - 1 - a) for a in (0, n // 2, n - 3)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_forest(spark, seed):
     rng = random.Random(seed)
