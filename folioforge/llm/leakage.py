@@ -2,26 +2,27 @@
 
 The test items are an inverted index: for each word its postings, items with BM25
 weights, sorted into blocks of items, and the largest weight in each block.  Every
-passage of the corpus is a query.  A passage is a window over a stretch of words
-that all occur in the index; windows overlap by ``run - 1`` words, so a shared run
-of ``run`` words lies inside one window.
-
-Retrieval is block-max WAND.  The words of a passage are ordered by their largest
-weight; those up to the pivot can't reach the least threshold together, so only the
-postings of the words beyond it are walked and blocks in which none of them occurs
-are skipped.  The blocks that are met get the sum of their block maxima, looked up
-for the other words too; those that reach their threshold are scored item by item,
-and only items that reach theirs are kept.  The threshold of an item is the least
-score of any of its runs of ``run`` words, so nothing that shares a run is lost.
-What is kept is verified on the exact runs.
+passage of the corpus is a query: each ``run`` consecutive words of a document that
+all occur in the index.
+
+Retrieval is block-max WAND.  A passage whose words can't reach the least threshold
+with their largest weights is left at once.  Else it sums its words' block maxima (as
+differences of prefix sums, so each word is read once for all passages that hold it),
+and blocks below their threshold are skipped.  In a block that is left the words are
+ordered by their maximum there; those up to the pivot can't reach the threshold
+together, so only the postings of the words beyond it are walked, and the items met
+are scored over all words.  The threshold of an item is the least score of any of
+its runs of ``run`` words, so nothing that shares a run is lost.  What is kept is
+verified on the exact runs.
 
 It is evaluated for many passages at a time with arrays over the sparse postings; no
 passage, document or item is skipped otherwise.
 
 Defined results: null and empty texts and texts of fewer than ``run`` words leak
 nothing; items of fewer words can't be found; repeated documents and items count
-once.  The items are read to the driver in shards of bounded size; the corpus is
-scanned once for each shard.
+once.  The items are read to the driver in parts of bounded size; the corpus is
+scanned once for each part, which is searched in indexes of a bounded number of
+items, so that blocks stay small.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from folioforge.llm import textkernel as tk
 
 RUN_WORDS = 13
-WINDOW = 64
-BLOCK_ITEMS = 16
+#: Items of a block, and of an index; the block maxima of an index are one row for each of its words.
+BLOCK_ITEMS, SHARD_ITEMS = 4, 512
 K1, B = 1.2, 0.75
-#: Characters of item text indexed at a time; a shard's index takes about ten bytes for each.
-SHARD_CHARS = 16_000_000
-#: Postings that a worker walks at once.
+#: Characters of item text that one scan of the corpus searches for, in as many indexes as that takes.
+SCAN_CHARS = 4_000_000
+#: Postings, or block maxima, that a worker reads at once.
 POSTINGS = 2_000_000
 
 
@@ -65,70 +66,57 @@ class ItemIndex:
         np.maximum.at(rarest, pair % n, idf[pair // n] * (1 + (pair // n) / (len(self.vocabulary) + 1.0)))
         self.place = np.argsort(np.argsort(rarest, kind="stable"), kind="stable")
         self.width = n
-        # postings by word and place, and their block maxima by word and block
+        # postings by word and place, and their block maxima
+        self.width = n
         key = pair // n * n + self.place[pair % n]
         order = np.argsort(key)
         self.keys, self.weights = key[order], weight[order]
-        self.blocks = -(-n // BLOCK_ITEMS)
-        block = self.keys // n * self.blocks + self.keys % n // BLOCK_ITEMS
-        self.block_keys, first = np.unique(block, return_index=True)
-        self.block_max = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.block_first = np.searchsorted(self.block_keys, np.arange(len(self.vocabulary) + 1) * self.blocks)
-        self.top = np.maximum.reduceat(self.weights, np.searchsorted(self.keys, np.arange(len(self.vocabulary)) * n)) if len(first) else np.empty(0)
-        self.threshold = np.full(self.blocks * BLOCK_ITEMS, np.inf)
-        self.item_at = np.full(self.blocks * BLOCK_ITEMS, -1, dtype=np.int64)
+        self.size = BLOCK_ITEMS
+        self.blocks = -(-n // self.size)
+        self.block_max = np.zeros((len(self.vocabulary), self.blocks), dtype=np.float32)
+        np.maximum.at(self.block_max, (self.keys // n, self.keys % n // self.size), np.nextafter(self.weights.astype(np.float32), np.float32(np.inf)))
+        self.top = self.block_max.max(axis=1, initial=0)
+        self.threshold = np.full(self.blocks * self.size, np.inf)
+        self.item_at = np.full(self.blocks * self.size, -1, dtype=np.int64)
         self.item_at[self.place] = np.arange(n)
         keys, at = tk.runs(hashes, owner, run)
         for i in at:
             j = owner[i]
             distinct = np.unique(word[i : i + run])
-            least = self.weights[np.searchsorted(self.keys, distinct * n + self.place[j])].sum() * (1 - 1e-9)
+            least = self.weights[np.searchsorted(self.keys, distinct * n + self.place[j])].sum() * (1 - 1e-5)
             self.threshold[self.place[j]] = min(self.threshold[self.place[j]], least)
-        self.block_threshold = self.threshold.reshape(self.blocks, BLOCK_ITEMS).min(axis=1)
+        self.block_threshold = self.threshold.reshape(self.blocks, self.size).min(axis=1)
         self.least = float(self.threshold.min(initial=np.inf))
         order = np.lexsort((owner[at], keys))
         self.run_keys, self.run_items = keys[order], owner[at][order]
 
     def passages(self, word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of the windows over stretches of at least ``run`` indexed words of one text."""
+        """(places of the words of all stretches of at least ``run`` indexed words of one text, stretch of each)."""
         inside = word >= 0
-        if not inside.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         new = np.ones(len(word), dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(new)
-        end = np.append(start[1:], len(word))
-        keep = inside[start] & (end - start >= self.run)
-        start, end = start[keep], end[keep]
-        step = WINDOW - self.run + 1
-        count = np.maximum(1, -(-(end - start - self.run + 1) // step))
-        which = np.repeat(np.arange(len(start)), count)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        first = start[which] + nth * step
-        return first, np.minimum(first + WINDOW, end[which])
+        size = np.diff(np.append(start, len(word)))
+        keep = inside[start] & (size >= self.run)
+        start, size = start[keep], size[keep]
+        return self._ranges(start, size), np.repeat(np.arange(len(start)), size)
 
     def search(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, item) of every text that shares a run with an item."""
+        none = np.empty(0, np.int64)
         if not len(self.vocabulary) or not len(hashes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return none, none
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         word = np.where(self.vocabulary[at] == hashes, at, -1)
-        first, last = self.passages(word, owner)
-        texts, items = [], []
-        # as many passages at a time as their words' postings allow
-        near = np.concatenate(([0], np.cumsum(np.where(word >= 0, np.diff(self.block_first)[np.maximum(word, 0)], 0))))
-        work = np.cumsum(near[last] - near[first]) if len(first) else np.empty(0)
-        a = 0
-        while a < len(first):
-            done = work[a - 1] if a else 0
-            z = max(a + 1, int(np.searchsorted(work, done + POSTINGS, "right")))
-            t, i = self._retrieve(word, owner, first[a:z], last[a:z], hashes)
-            texts.append(t)
-            items.append(i)
-            a = z
-        if not texts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(texts), np.concatenate(items)
+        spot, stretch = self.passages(word, owner)
+        found = []
+        step = max(self.run, POSTINGS // self.blocks)
+        for a in range(0, len(spot) - self.run + 1, step):
+            z = min(a + step + self.run - 1, len(spot))
+            found.append(self._retrieve(word[spot[a:z]], stretch[a:z], hashes[spot[a:z]], owner[spot[a:z]]))
+        if not found:
+            return none, none
+        return np.concatenate([t for t, _ in found]), np.concatenate([i for _, i in found])
 
     @staticmethod
     def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -141,84 +129,76 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], 0.0)
 
-    def _retrieve(self, word, owner, first, last, hashes):
-        size = last - first
-        passage = np.repeat(np.arange(len(first)), size)
-        spot = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size) + first[passage]
-        terms = np.unique(passage * np.int64(len(self.vocabulary)) + word[spot])
-        of, term = terms // len(self.vocabulary), terms % len(self.vocabulary)
+    def _items(self, words: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the items of a block that reach their threshold for a passage; a row of ``words`` is a passage."""
+        words = np.sort(words, axis=1)
+        again = np.zeros(words.shape, dtype=bool)
+        again[:, 1:] = words[:, 1:] == words[:, :-1]
+        best = np.where(again, 0, self.block_max[words, block[:, None]]).astype(np.float64)
+        order = np.argsort(best, axis=1)
+        upto = np.cumsum(np.take_along_axis(best, order, axis=1), axis=1)
+        beyond = np.zeros(words.shape, dtype=bool)
+        np.put_along_axis(beyond, order, upto >= self.block_threshold[block][:, None] * (1 - 1e-6), axis=1)
+        row, column = np.nonzero(beyond & (best > 0))
+        base = words[row, column] * self.width + block[row] * self.size
+        lo, hi = np.searchsorted(self.keys, base), np.searchsorted(self.keys, np.minimum(base + self.size, (words[row, column] + 1) * self.width))
+        met = np.unique(np.repeat(row, hi - lo) * np.int64(self.blocks * self.size) + self.keys[self._ranges(lo, hi - lo)] % self.width)
+        of, place = met // (self.blocks * self.size), met % (self.blocks * self.size)
+        # the scores of the items met, over all words of their passage
+        score = np.where(again[of], 0, self._at(self.keys, self.weights, words[of] * self.width + place[:, None])).sum(axis=1)
+        keep = np.flatnonzero(score >= self.threshold[place])
+        return of[keep], place[keep]
+
+    def _retrieve(self, word: np.ndarray, stretch: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of the passages that start at the words of some stretches."""
+        run = self.run
         none = np.empty(0, np.int64)
-        # the pivot: words whose largest weights reach the least threshold only together with later ones
-        order = np.lexsort((self.top[term], of))
-        of, term = of[order], term[order]
-        begin = np.searchsorted(of, np.arange(len(first) + 1))
-        run = np.cumsum(self.top[term])
-        upto = run - np.concatenate(([0.0], run))[begin[of]]
-        beyond = np.flatnonzero(upto >= self.least)
-        if not len(beyond):
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(x) + 1, *x.shape[1:]))
+            np.cumsum(x, axis=0, out=total[1:], dtype=np.float64)
+            return total[run:] - total[:-run]
+
+        whole = (stretch[run - 1 :] == stretch[: len(stretch) - run + 1]) & (sums(self.top[word]) >= self.least * (1 - 1e-6))
+        if not whole.any():
             return none, none
-        # blocks in the postings of the words beyond it
-        count = self.block_first[term[beyond] + 1] - self.block_first[term[beyond]]
-        index = self._ranges(self.block_first[term[beyond]], count)
-        met = np.unique(np.repeat(of[beyond], count) * self.blocks + self.block_keys[index] % self.blocks)
-        p, block = met // self.blocks, met % self.blocks
-        # their sums of block maxima over all words of the passage
-        length = (begin[1:] - begin[:-1])[p]
-        words = self._ranges(begin[p], length)
-        pair = np.repeat(np.arange(len(p)), length)
-        bound = np.bincount(pair, weights=self._at(self.block_keys, self.block_max, term[words] * self.blocks + block[pair]), minlength=len(p))
-        keep = np.flatnonzero(bound >= self.block_threshold[block])
-        if not len(keep):
+        start, block = np.nonzero((sums(self.block_max[word]) >= self.block_threshold * (1 - 1e-6)) & whole[:, None])
+        texts, items = [], []
+        step = POSTINGS // (8 * run)
+        for a in range(0, len(start), step):
+            first = start[a : a + step]
+            row, place = self._items(word[first[:, None] + np.arange(run)], block[a : a + step])
+            if not len(row):
+                continue
+            # verify on the exact runs
+            at = first[row]
+            item = self.item_at[place]
+            key = np.zeros(len(at), dtype=np.uint64)
+            for k in range(run):
+                key = key * tk._ROLL + hashes[at + k]
+            key = tk.mix(key)
+            left, right = np.searchsorted(self.run_keys, key, "left"), np.searchsorted(self.run_keys, key, "right")
+            which = np.repeat(np.arange(len(at)), right - left)
+            real = self.run_items[self._ranges(left, right - left)] == item[which]
+            texts.append(owner[at[which[real]]])
+            items.append(item[which[real]])
+        if not texts:
             return none, none
-        # items of those blocks
-        p, block = np.repeat(p[keep], BLOCK_ITEMS), np.repeat(block[keep], BLOCK_ITEMS)
-        place = block * BLOCK_ITEMS + np.tile(np.arange(BLOCK_ITEMS), len(keep))
-        real = np.isfinite(self.threshold[place])
-        p, place = p[real], place[real]
-        hits = []
-        length = (begin[1:] - begin[:-1])[p]
-        total = np.cumsum(length)
-        a = 0
-        while a < len(p):
-            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + POSTINGS, "right")))
-            words = self._ranges(begin[p[a:z]], length[a:z])
-            pair = np.repeat(np.arange(z - a), length[a:z])
-            score = np.bincount(pair, weights=self._at(self.keys, self.weights, term[words] * self.width + place[a:z][pair]), minlength=z - a)
-            hits.append(a + np.flatnonzero(score >= self.threshold[place[a:z]]))
-            a = z
-        hit = np.concatenate(hits) if hits else none
-        hit_p, hit_item = p[hit], self.item_at[place[hit]]
-        if not len(hit_p):
-            return hit_p, hit_item
-        # verify on the exact runs of the retrieved passages
-        chosen = np.unique(hit_p)
-        runs_of = size[chosen] - self.run + 1
-        which = np.repeat(chosen, runs_of)
-        start = np.arange(len(which)) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of) + first[which]
-        key = np.zeros(len(start), dtype=np.uint64)
-        for k in range(self.run):
-            key = key * tk._ROLL + hashes[start + k]
-        key = tk.mix(key)
-        left, right = np.searchsorted(self.run_keys, key, "left"), np.searchsorted(self.run_keys, key, "right")
-        found = right - left
-        which, left = np.repeat(which, found), np.repeat(left, found)
-        item = self.run_items[left + np.arange(len(left)) - np.repeat(np.cumsum(found) - found, found)]
-        real = np.isin(which * np.int64(len(self.ids)) + item, hit_p * np.int64(len(self.ids)) + hit_item)
-        out = np.unique(owner[first[which[real]]] * np.int64(len(self.ids)) + item[real])
+        out = np.unique(np.concatenate(texts) * np.int64(len(self.ids)) + np.concatenate(items))
         return out // len(self.ids), out % len(self.ids)
 
 
-def _search_batches(index):
+def _search_batches(indexes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in tk.slices(texts):
                 hashes, owner = tk.words(texts[a:b])
-                if len(hashes):
+                for ix in indexes.value:
                     text, item = ix.search(hashes, owner)
-                    pairs = np.unique(text * np.int64(len(ix.ids)) + item) if len(text) else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[a:b][pairs // len(ix.ids)]), pa.array(ix.ids[pairs % len(ix.ids)])], names=["doc_id", "item_id"])
+                    pairs = np.unique(text * np.int64(len(ix.ids)) + item)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[a:b][pairs // len(ix.ids)]), pa.array(ix.ids[pairs % len(ix.ids)])], names=["doc_id", "item_id"])
 
     return run
 
@@ -228,12 +208,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     spark = documents.sparkSession
     known = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
     size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    shards = max(1, -(-size["chars"] // SHARD_CHARS))
+    scans = max(1, -(-size["chars"] // SCAN_CHARS))
     corpus = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     out = spark.createDataFrame([], "doc_id long, item_id long")
-    for k in range(shards):
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
+    for k in range(scans):
+        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(scans)) == k).orderBy("item_id", "text").collect()
         if part:
-            index = ItemIndex(np.array([r["item_id"] for r in part], dtype=np.int64), [r["text"] for r in part], run)
-            out = out.unionByName(corpus.mapInArrow(_search_batches(spark.sparkContext.broadcast(index)), "doc_id long, item_id long"))
+            indexes = [ItemIndex(np.array([r["item_id"] for r in rows], dtype=np.int64), [r["text"] for r in rows], run) for rows in (part[a : a + SHARD_ITEMS] for a in range(0, len(part), SHARD_ITEMS))]
+            out = out.unionByName(corpus.mapInArrow(_search_batches(spark.sparkContext.broadcast(indexes)), "doc_id long, item_id long"))
     return out.distinct()
