@@ -34,6 +34,28 @@ def references_in(text: str) -> Iterator[tuple[str, str, str, float]]:
             yield "link", m.group(1), m.group(2), 1.0
 
 
+def reference_names(segments: DataFrame) -> DataFrame:
+    """(segment_id, reference_type, reference_text, confidence) of (segment_id, content): as ``references`` without the text around, by expressions alone.
+
+    Words are runs of ASCII letters, digits and underscores here.
+    """
+    out = None
+
+    def found(kind: str, pattern: str) -> DataFrame:
+        pattern = f"(?i){pattern}"
+        first = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+        if re.compile(pattern).groups == 2:
+            first = F.zip_with(first, F.regexp_extract_all("content", F.lit(pattern), F.lit(2)), lambda a, b: F.concat(a, F.lit("."), b))
+        return segments.select("segment_id", F.lit(kind).alias("reference_type"), F.explode(first).alias("reference_text"), F.lit(0.8).alias("confidence"))
+
+    for kind, patterns in REFERENCE_PATTERNS.items():
+        for pattern in patterns:
+            part = found(kind, pattern)
+            out = part if out is None else out.unionByName(part)
+    links = segments.select("segment_id", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(_LINK.pattern), F.lit(1)).alias("text"), F.regexp_extract_all("content", F.lit(_LINK.pattern), F.lit(2)).alias("target"))).alias("m"))
+    return out.unionByName(links.where(F.col("m.target").startswith("#")).select("segment_id", F.lit("link").alias("reference_type"), F.col("m.text").alias("reference_text"), F.lit(1.0).alias("confidence")))
+
+
 def _reference_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in REFERENCE_SCHEMA.split(", ")]
     for frame in frames:

@@ -208,7 +208,12 @@ def vector_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn_batch(vector.vectors_of(table(spark, sf_dir, "document_segments")), queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@register()
+@register(
+    _VECTORS
+    + """, qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, w.id, round(list_cosine_similarity(w.e, qs.e), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(w.e, qs.e) DESC, w.id)::INT AS rank
+FROM w, qs QUALIFY rank <= 5"""
+)
 def vector_knn_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest segments to every query vector whose id is divisible by 50, in blocks; brute force in test_edges is its twin."""
     queries = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -529,13 +534,38 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "document_segments").select("document_id", F.col("id").alias("segment_id"), "content").distinct()
 
 
-@register()
+def _defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents with each assignment of a call (``x = name(``) written as a definition (``def name(``), as the tables' code defines nothing."""
+    return _contents(spark, sf_dir).withColumn("content", F.regexp_replace("content", r"(?m)^\w+ = (\w+)\(", "def $1("))
+
+
+_DEFINED = "(SELECT document_id, segment_id, regexp_replace(content, '(?m)^\\w+ = (\\w+)\\(', 'def \\1(', 'g') AS content FROM (SELECT DISTINCT document_id, id AS segment_id, content FROM document_segments))"
+_REFERENCE_FORMS = (
+    ("function", r"\b(\w+)\s*\("), ("function", r"`(\w+)\(\)`"), ("function", r"`(\w+)\(`"), ("class", r"\bclass\s+(\w+)"), ("class", r"`(\w+)`\s+class"), ("class", r"\b([A-Z]\w+)\s+class"),
+    ("method", r"\.(\w+)\s*\("), ("method", r"`\.(\w+)\(\)`"), ("module", r"import\s+(\w+)"), ("module", r"from\s+(\w+)\s+import"), ("module", r"`(\w+)`\s+module"),
+)
+_REFERENCES = (
+    " UNION ALL ".join(f"SELECT document_id, segment_id, '{kind}' AS reference_type, unnest(regexp_extract_all(content, '(?i){form}', 1)) AS reference_text, 0.8 AS confidence FROM s" for kind, form in _REFERENCE_FORMS)
+    + """ UNION ALL SELECT document_id, segment_id, 'method', regexp_extract(m, '(\\w+)\\.(\\w+)', 1) || '.' || regexp_extract(m, '(\\w+)\\.(\\w+)', 2), 0.8 FROM (SELECT document_id, segment_id, unnest(regexp_extract_all(content, '\\b\\w+\\.\\w+\\s*\\(')) AS m FROM s)
+UNION ALL SELECT document_id, segment_id, 'link', regexp_extract(m, '\\[([^\\]]+)\\]', 1), 1.0 FROM (SELECT document_id, segment_id, unnest(regexp_extract_all(content, '\\[[^\\]]+\\]\\([^)]+\\)')) AS m FROM s) WHERE contains(m, '](#')"""
+)
+
+
+@register("WITH s AS (SELECT DISTINCT document_id, id AS segment_id, content FROM document_segments) SELECT segment_id, reference_type, reference_text, confidence::DOUBLE AS confidence FROM (" + _REFERENCES + ")")
 def extract_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.reference_names(_contents(spark, sf_dir))
+
+
+@register()
+def references_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References with the text around them; tests compare it with ``extract_references``."""
     return extract.references(_contents(spark, sf_dir))
 
 
-_ANCHORS = """
-WITH s AS (SELECT DISTINCT document_id, id AS segment_id, content FROM document_segments),
+_ANCHORS = (
+    "WITH s AS "
+    + _DEFINED
+    + """,
 a AS (
   SELECT document_id, segment_id, 'function' AS anchor_type, regexp_extract(m, '(?:def|function)\\s+(\\w+)\\s*\\(([^)]*)\\)', 1) AS anchor_name, regexp_extract(m, '(?:def|function)\\s+(\\w+)\\s*\\(([^)]*)\\)', 1) || '(' || regexp_extract(m, '(?:def|function)\\s+(\\w+)\\s*\\(([^)]*)\\)', 2) || ')' AS anchor_signature
   FROM (SELECT document_id, segment_id, unnest(regexp_extract_all(content, '(?:def|function)\\s+\\w+\\s*\\([^)]*\\)')) AS m FROM s)
@@ -545,11 +575,13 @@ a AS (
   SELECT document_id, segment_id, 'method', regexp_extract(m, 'def\\s+(\\w+)', 1), NULL FROM (SELECT document_id, segment_id, unnest(regexp_extract_all(content, '(?m)^\\s{4,}def\\s+\\w+\\s*\\(')) AS m FROM s)
 )
 """
+)
 
 
 @register(_ANCHORS + "SELECT * FROM a")
 def extract_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.anchors(_contents(spark, sf_dir))
+    """Anchors of the contents in which assigned calls are written as definitions."""
+    return extract.anchors(_defined(spark, sf_dir))
 
 
 @register(
@@ -580,29 +612,29 @@ def code_block_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy(F.col("b.language").alias("language")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("b.code")).alias("characters"))
 
 
-def _references_with_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    contents = _contents(spark, sf_dir)
-    homes = contents.select("document_id", "segment_id").distinct()
-    return extract.references(contents.select("segment_id", "content")).join(homes, "segment_id"), _title_anchors(spark, sf_dir).unionByName(extract.anchors(contents).select("document_id", "segment_id", "anchor_type", "anchor_name"))
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = _defined(spark, sf_dir)
+    homes = contents.select("document_id", "segment_id")
+    return crossrefs.resolve(extract.reference_names(contents).join(homes, "segment_id"), extract.anchors(contents))
 
 
-def _title_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that name a function are its anchor."""
-    named = table(spark, sf_dir, "document_segments").select("document_id", F.col("id").alias("segment_id"), F.explode(F.regexp_extract_all("section_title", F.lit(r"\b(\w+)\(\)"), F.lit(1))).alias("anchor_name")).distinct()
-    return named.select("document_id", "segment_id", F.lit("function").alias("anchor_type"), "anchor_name")
+_RESOLVED = (
+    _ANCHORS
+    + ", r AS (SELECT DISTINCT x.document_id, x.segment_id, x.reference_type, x.reference_text FROM ("
+    + _REFERENCES
+    + """) x),
+k AS (SELECT anchor_name, anchor_type, document_id, segment_id FROM a UNION ALL SELECT anchor_name, 'link', document_id, segment_id FROM a),
+near AS (SELECT anchor_name, anchor_type, document_id, max(segment_id) AS local_id FROM k GROUP BY ALL),
+far AS (SELECT anchor_name, anchor_type, segment_id AS far_id, document_id AS far_document FROM k QUALIFY row_number() OVER (PARTITION BY anchor_name, anchor_type ORDER BY segment_id DESC, document_id DESC) = 1),
+t AS (SELECT r.document_id, r.segment_id, r.reference_type, r.reference_text, coalesce(local_id, far_id) AS target_segment_id, CASE WHEN local_id IS NULL THEN far_document ELSE r.document_id END AS target_document_id
+FROM r JOIN far ON far.anchor_name = r.reference_text AND far.anchor_type = r.reference_type LEFT JOIN near ON near.anchor_name = r.reference_text AND near.anchor_type = r.reference_type AND near.document_id = r.document_id)
+"""
+)
 
 
-@register()
+@register(_RESOLVED + "SELECT * FROM t")
 def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crossrefs.resolve(*_references_with_documents(spark, sf_dir))
-
-
-@register()
-def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crossrefs.degrees(crossrefs.graph(crossrefs.resolve(*_references_with_documents(spark, sf_dir))))
-
-
-# ---- labels, names, hashes
+    return _resolved(spark, sf_dir)
 
 
 @register("SELECT doc_id, md5(text) AS md5_hex, sha256(text) AS sha_hex, coalesce(content_hash = sha256(text), FALSE) AS hash_holds FROM documents WHERE text IS NOT NULL")
@@ -677,9 +709,23 @@ def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir)
 
 
-@register()
+def _link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of the Markdown links of each segment at its document's address, as the stored pages link only to themselves."""
+    links = F.transform(extract.markdown_links(F.col("content")), lambda m: F.concat(F.lit('<a href="'), m["target"], F.lit('">x</a>')))
+    at = table(spark, sf_dir, "documents").where(F.col("url").isNotNull()).groupBy(F.col("doc_id").alias("document_id")).agg(F.min("url").alias("url"))
+    rows = _contents(spark, sf_dir).where(F.contains("content", F.lit("](/"))).join(at, "document_id")
+    return html.pages(rows.select(F.col("segment_id").alias("page_id"), "url", F.array_join(links, "\n").alias("html")))
+
+
+@register(
+    _LINKS
+    + """SELECT DISTINCT segment_id AS page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*') || target AS link FROM l JOIN documents d ON d.doc_id = l.document_id
+WHERE starts_with(target, '/') AND segment_id IN (SELECT id FROM document_segments WHERE contains(content, '](/'))"""
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", F.posexplode("links").alias("position", "link"))
+    """Links of pages to other pages of their site, in full."""
+    links = _link_pages(spark, sf_dir).select("page_id", "url", F.explode("links").alias("link"))
+    return links.where(urls.domain(F.col("link")) == urls.domain(F.col("url"))).select("page_id", "link").distinct()
 
 
 @register()
@@ -718,18 +764,31 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def links_to_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the stored pages that a crawl would follow and that no document has yet."""
-    links = _pages(spark, sf_dir).where(F.col("url").isNotNull()).select(F.col("url").alias("page"), F.posexplode("links").alias("position", "link"))
+    """Links of pages that a crawl would follow and that no document has yet."""
+    links = _link_pages(spark, sf_dir).select(F.col("url").alias("page"), F.posexplode("links").alias("position", "link"))
     return crawl.next_links(links, table(spark, sf_dir, "documents").select("url"), 2, per_page=20)
 
 
+# spelled out here, so that an error in the code's tables shows
+_KIND_WORDS = (
+    ("API Reference", "api reference method function class".split()), ("Tutorial/Guide", ["tutorial", "guide", "getting started", "quickstart", "intro"]), ("Examples", "example sample demo usage".split()),
+    ("Setup/Config", "install setup configuration config".split()), ("Troubleshooting", "troubleshoot debug error problem issue".split()),
+)
+_LEVEL_WORDS = (("Beginner", ["beginner", "basic", "intro", "getting started", "quickstart"]), ("Advanced", "advanced expert complex in-depth".split()), ("Intermediate", "intermediate moderate".split()))
+_SECTION_WORDS = (
+    ("overview", ["overview", "introduction", "getting started", "about"]), ("installation", "installation install setup requirements".split()), ("usage", ["usage", "examples", "quick start", "tutorial"]),
+    ("api", "api reference methods functions classes".split()), ("configuration", "configuration config settings options".split()), ("faq", ["faq", "frequently asked questions", "troubleshooting"]),
+    ("changelog", ["changelog", "release notes", "history", "versions"]),
+)
+
+
 def _kinds_sql(rules, start: int) -> str:
     low = f"lower(concat_ws(chr(10), section_title, content[1:{start}]))"
     cases = ", ".join(f"CASE WHEN {' OR '.join(f'contains({low}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}' END" for name, words in rules)
     return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
 
 
-@register(f"SELECT DISTINCT id, {_kinds_sql(labels.CONTENT_KINDS, 500)} AS kinds, {_kinds_sql(labels.COMPLEXITY, 500)} AS levels, {_sql_label('section_title', labels.SECTION_TYPES, 'NULL')} AS section_type FROM document_segments")
+@register(f"SELECT DISTINCT id, {_kinds_sql(_KIND_WORDS, 500)} AS kinds, {_kinds_sql(_LEVEL_WORDS, 500)} AS levels, {_sql_label('section_title', _SECTION_WORDS, 'NULL')} AS section_type FROM document_segments")
 def content_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, content = F.col("section_title"), F.col("content")
     rows = table(spark, sf_dir, "document_segments")
@@ -741,7 +800,10 @@ def documented_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "libraries").select("id", labels.documented_version(F.col("doc_url")).alias("documented"))
 
 
-@register()
+@register(
+    """WITH u AS (SELECT doc_id, url, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://(?:[^/?#@]*@)?[^/?#:]+:(\\d+)', 1) AS port FROM documents)
+SELECT doc_id, coalesce(length(url) <= 2048 AND host <> '' AND host <> 'localhost' AND NOT regexp_matches(host, '^(10\\.|127\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') AND port NOT IN ('22', '23', '25', '3306', '5432', '6379') AND host <> 'test' AND NOT suffix(host, '.test'), FALSE) AS fetchable FROM u"""
+)
 def fetchable_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", checks.fetchable(F.col("url"), ["test"]).alias("fetchable"))
 
@@ -777,8 +839,8 @@ def suggest_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _category_sql() -> str:
     parts = []
-    for category in suggest.task_categories("load a config file"):
-        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in suggest.TASK_WORDS[category])
+    for category, words in (("file_operations", "read write open save load file path"), ("configuration", "config settings environment parameter option")):
+        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in words.split())
         parts.append(f"SELECT '{category}' AS category, id, ({hits})::INT AS match_count FROM s")
     return f"""WITH s AS (SELECT DISTINCT id, lower(concat_ws(' ', content, section_title)) AS low FROM document_segments), m AS ({" UNION ALL ".join(parts)})
 SELECT category, id, match_count FROM m WHERE match_count > 0 QUALIFY row_number() OVER (PARTITION BY category ORDER BY match_count DESC, id) <= 25"""
@@ -790,27 +852,53 @@ def suggest_category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.category_matches(segments, suggest.task_categories("load a config file"), 25)
 
 
-@register()
+@register(
+    """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(content, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) AS identifier FROM document_segments),
+k AS (SELECT identifier, list_distinct(string_split(lower(identifier), '')) AS a, list_distinct(string_split('readcollector', '')) AS b FROM n WHERE identifier NOT IN ('if', 'for', 'while', 'with', 'readCollector')),
+z AS (SELECT identifier, CASE WHEN lower(identifier) = 'readcollector' THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS s, lower(identifier) AS low FROM k)
+SELECT identifier, round(s * 0.7, 6)::DOUBLE AS score, CASE WHEN contains(low, 'get') THEN replace(low, 'get', 'set') WHEN contains(low, 'set') THEN replace(low, 'set', 'get') WHEN contains(low, 'open') THEN replace(low, 'open', 'close') WHEN contains(low, 'create') THEN replace(low, 'create', 'delete') END AS opposite FROM z WHERE s > 0.5"""
+)
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names like readCollector among the called names, with the opposite of each."""
     names = _contents(spark, sf_dir).select(F.explode(extract.called_names(F.col("content"))).alias("identifier"))
     return suggest.similar_names(names, "readCollector").select("identifier", F.round("score", 6).alias("score"), suggest.paired_name(F.col("identifier")).alias("opposite"))
 
 
+_SUMMARY_WORDS = {
+    "overview": "introduction overview description purpose what is this library about getting started quickstart",
+    "installation": "installation setup install pip requirements how to dependencies prerequisites",
+    "functions": "api functions methods interface function reference method signatures public",
+    "examples": "code examples usage snippets how to use example sample demonstrations",
+    "classes": "class reference objects types documentation interfaces object oriented api",
+    "parameters": "parameters arguments options configuration function method settings",
+    "errors": "error handling exceptions troubleshooting common errors issues problems debugging messages",
+}
+
+
 def _summary_sql() -> str:
     parts = []
-    for category, words in summarise.SUMMARY_WORDS.items():
-        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in words)
+    for category, words in _SUMMARY_WORDS.items():
+        hits = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in words.split())
         parts.append(f"SELECT document_id, '{category}' AS category, id, ({hits})::INT AS matches FROM s")
-    return f"""WITH s AS (SELECT DISTINCT id, document_id, lower(concat_ws(' ', content, section_title)) AS low FROM document_segments), m AS ({" UNION ALL ".join(parts)})
-SELECT document_id, category, id, matches FROM m WHERE matches > 0 QUALIFY row_number() OVER (PARTITION BY document_id, category ORDER BY matches DESC, id) <= 3"""
+    return f"""WITH s AS (SELECT DISTINCT id, document_id, lower(concat_ws(' ', content, section_title)) AS low FROM document_segments), m AS ({" UNION ALL ".join(parts)}),
+b AS (SELECT document_id, category, id, matches FROM m WHERE matches > 0 QUALIFY row_number() OVER (PARTITION BY document_id, category ORDER BY matches DESC, id) <= 3)"""
 
 
-@register(_summary_sql())
-def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise.section_summary(table(spark, sf_dir, "document_segments").select("id", "document_id", "content", "section_title").distinct())
 
 
+@register(_summary_sql() + " SELECT * FROM b")
+def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _section_summary(spark, sf_dir)
+
+
+@register(_summary_sql() + " SELECT document_id, id, max(matches) AS matches FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY max(matches) DESC, id) <= 10")
+def key_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best sections of each document over all categories, each once."""
+    return summarise.key_sections(_section_summary(spark, sf_dir))
+
+
 @register()
 def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise.summaries(_texts(spark, sf_dir))
@@ -933,7 +1021,7 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-from folioforge import queries_more  # noqa: E402, F401  registers further queries in the same table
+from folioforge import queries_more, queries_store  # noqa: E402, F401  these register further queries in the same table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

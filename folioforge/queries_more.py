@@ -212,6 +212,16 @@ def link_graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossrefs.degrees(crossrefs.graph(crossrefs.resolve(_calls(spark, sf_dir), _anchors(spark, sf_dir))))
 
 
+@register(
+    "WITH " + _ANCHORS + """, best AS (SELECT name, max(segment_id) AS far_id FROM a GROUP BY 1), near AS (SELECT name, document_id, max(segment_id) AS local_id FROM a GROUP BY 1, 2),
+t AS (SELECT r.segment_id AS x, coalesce(local_id, far_id) AS y FROM r JOIN best USING (name) LEFT JOIN near ON near.name = r.name AND near.document_id = r.document_id)
+SELECT x AS source_segment_id, y AS target_segment_id, count(*) AS "references" FROM t WHERE x <> y GROUP BY 1, 2"""
+)
+def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that call names which other segments introduce."""
+    return crossrefs.graph(crossrefs.resolve(_calls(spark, sf_dir), _anchors(spark, sf_dir)))
+
+
 _NAME = "(SELECT name FROM a GROUP BY name ORDER BY count(*) DESC, name LIMIT 1)"
 
 
