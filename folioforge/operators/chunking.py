@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators import adjacent
+
 CHUNK_SCHEMA = "document_id long, chunk_number int, total_chunks int, start_position long, end_position long, strategy string, content string"
 
 # What opens a new unit of meaning at the start of a line.
@@ -222,11 +224,12 @@ def section_chunk(index: DataFrame, document_id: int, path: str) -> DataFrame:
 
 def chunk_navigation(packs: DataFrame) -> DataFrame:
     """(document_id, id, section_path, chunk, prev_path, prev_chunk, next_path, next_chunk) in lexical path order, of ``section_packs``."""
-    order = Window.partitionBy("document_id").orderBy(F.coalesce("section_path", F.lit("")), "id", "start")
-    near = lambda c, step: (F.lag(c) if step < 0 else F.lead(c)).over(order)
-    return packs.select(
-        "document_id", "id", "section_path", F.col("chunk_number").alias("chunk"), near("section_path", -1).alias("prev_path"), near("chunk_number", -1).alias("prev_chunk"), near("section_path", 1).alias("next_path"), near("chunk_number", 1).alias("next_chunk")
-    )
+    value = F.struct("id", "section_path", "chunk_number")
+    near = adjacent.neighbours(packs, F.col("document_id"), [F.coalesce("section_path", F.lit("")), F.col("id"), F.col("start")], value)
+    return near.select(
+        F.col("group").alias("document_id"), "value.id", "value.section_path", F.col("value.chunk_number").alias("chunk"), F.col("prev.section_path").alias("prev_path"), F.col("prev.chunk_number").alias("prev_chunk"),
+        F.col("next.section_path").alias("next_path"), F.col("next.chunk_number").alias("next_chunk"),
+    )
 
 
 def section_chunks(segments: DataFrame, size: int) -> DataFrame:

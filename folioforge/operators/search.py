@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import query_terms
 
+#: Documents with a term in their title, up to this number, are broadcast.
+BROADCAST_DOCUMENTS = 1_000_000
+
 
 @dataclass(frozen=True)
 class SearchOptions:
@@ -76,6 +79,31 @@ def text_search(view: DataFrame, query: str, options: SearchOptions | None = Non
     return hits.where(F.col("score") >= options.min_score).orderBy(F.desc("score"), "document_id", "id").limit(options.limit)
 
 
+def candidates(segments: DataFrame, documents: DataFrame, query: str, max_terms: int = 3) -> DataFrame:
+    """The segments that hold a term in content or section title, or whose document has one in its title.
+
+    The terms are looked for before segments and documents are joined, so only hits
+    take part in the join; of the documents only the ids of title hits meet the
+    segments, by broadcast while they are few.
+    """
+    terms = query_terms(query, max_terms)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    own, titled = F.lit(False), F.lit(False)
+    for term in terms:
+        own = own | F.contains(low("content"), F.lit(term)) | F.contains(low("section_title"), F.lit(term))
+        titled = titled | F.contains(low("title"), F.lit(term))
+    named = documents.where(titled).select(F.col("doc_id").alias("document_id")).distinct().withColumn("_titled", F.lit(True))
+    if named.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS:
+        named = F.broadcast(named)
+    return segments.join(named, "document_id", "left").where(own | F.coalesce("_titled", F.lit(False))).drop("_titled")
+
+
+def find(segments: DataFrame, documents: DataFrame, query: str, options: SearchOptions | None = None, libraries: DataFrame | None = None) -> DataFrame:
+    """``text_search`` over tables of any size."""
+    options = options or SearchOptions()
+    return text_search(segment_view(candidates(segments, documents, query, options.max_terms), documents, libraries), query, options)
+
+
 def filter_only(view: DataFrame, options: SearchOptions) -> DataFrame:
     """Segments that pass the filters, one per section, smallest id first."""
     hits = view

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators import adjacent
+
 
 def path_key(path: Column) -> Column:
     """Array of numbers for numeric order (1.2 before 1.10); parts that are no numbers sort first."""
@@ -53,17 +55,24 @@ def subtree(sections: DataFrame, document_id: int, path: str) -> DataFrame:
     return sections.where((F.col("document_id") == document_id) & ((F.col("section_path") == path) | F.col("section_path").startswith(path + ".")))
 
 
-def siblings(sections: DataFrame) -> DataFrame:
-    """(document_id, id, sibling_id) of sections with the same parent path and as many parts."""
-    keyed = sections.withColumn("up", F.coalesce(parent_path(F.col("section_path")), F.lit("")))
-    other = keyed.select("document_id", "up", F.col("id").alias("sibling_id"))
-    return keyed.join(other, ["document_id", "up"]).where(F.col("id") != F.col("sibling_id")).select("document_id", "id", "sibling_id")
+def siblings(sections: DataFrame, asked: DataFrame) -> DataFrame:
+    """(document_id, id, sibling_id) of the sections in ``asked``: those with the same parent path."""
+    keyed = lambda df: df.withColumn("up", F.coalesce(parent_path(F.col("section_path")), F.lit("")))
+    other = keyed(sections).select("document_id", "up", F.col("id").alias("sibling_id"))
+    return keyed(asked).join(other, ["document_id", "up"]).where(F.col("id") != F.col("sibling_id")).select("document_id", "id", "sibling_id")
+
+
+def sibling_groups(sections: DataFrame) -> DataFrame:
+    """(document_id, parent_path, id, siblings): every section with its group and the number of others in it; a group isn't expanded into pairs."""
+    keyed = sections.select("document_id", F.coalesce(parent_path(F.col("section_path")), F.lit("")).alias("parent_path"), "id")
+    sizes = keyed.groupBy("document_id", "parent_path").agg((F.count(F.lit(1)) - 1).alias("siblings"))
+    return keyed.join(sizes, ["document_id", "parent_path"])
 
 
 def neighbours(sections: DataFrame) -> DataFrame:
     """(document_id, id, prev_id, next_id) in numeric path order."""
-    order = Window.partitionBy("document_id").orderBy(path_key(F.col("section_path")), "id")
-    return sections.select("document_id", "id", F.lag("id").over(order).alias("prev_id"), F.lead("id").over(order).alias("next_id"))
+    near = adjacent.neighbours(sections, F.col("document_id"), [path_key(F.col("section_path")), F.col("id")], F.col("id"))
+    return near.select(F.col("group").alias("document_id"), F.col("value").alias("id"), F.col("prev").alias("prev_id"), F.col("next").alias("next_id"))
 
 
 def roll_up(hits: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators import adjacent
+
 DIFF_SCHEMA = "old_id long, new_id long, similarity double, line_similarity double, added int, removed int, added_functions int, removed_functions int, change string"
 
 
@@ -44,9 +46,10 @@ def consecutive(documents: DataFrame) -> DataFrame:
     and of equal ones just one is, so what didn't change isn't moved twice.
     """
     page_of = F.regexp_replace(F.lower("url"), r"/v?\d+(\.\d+)*(?=/|$)|/(stable|latest)(?=/|$)", "")
-    order = Window.partitionBy("page").orderBy(F.asc_nulls_first("scraped_at"), "doc_id")
-    ids = documents.select("doc_id", "scraped_at", page_of.alias("page"), F.xxhash64("text").alias("hash"))
-    pairs = ids.select(F.lag("doc_id").over(order).alias("old_id"), F.col("doc_id").alias("new_id"), F.lag("hash").over(order).alias("old_hash"), F.col("hash").alias("new_hash")).where(F.col("old_id").isNotNull())
+    since = F.coalesce(F.unix_micros("scraped_at"), F.lit(-(1 << 63)))
+    pages = documents.where(F.col("url").isNotNull()).select("doc_id", since.alias("since"), page_of.alias("page"), F.xxhash64("text").alias("hash"))
+    near = adjacent.neighbours(pages, F.col("page"), [F.col("since"), F.col("doc_id")], F.struct("doc_id", "hash")).where(F.col("prev").isNotNull())
+    pairs = near.select(F.col("prev.doc_id").alias("old_id"), F.col("value.doc_id").alias("new_id"), F.col("prev.hash").alias("old_hash"), F.col("value.hash").alias("new_hash"))
     same = pairs.where(F.col("old_hash") == F.col("new_hash")).select("old_id", "new_id", F.lit("").alias("old_text"), F.lit("").alias("new_text"))
     changed = pairs.where(F.col("old_hash") != F.col("new_hash"))
     texts = documents.select("doc_id", "text")

@@ -129,18 +129,18 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_search_sql(TERMS, 20))
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_search(_view(spark, sf_dir), TERMS, search.SearchOptions(limit=20)).select("id", "document_id", "section_path", "score")
+    return search.find(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"), TERMS, search.SearchOptions(limit=20)).select("id", "document_id", "section_path", "score")
 
 
 @register(_search_sql("collector", 50, "version = 'latest'", "document_id, section_path", 1.0))
 def text_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = search.SearchOptions(limit=50, dedup="document_section", filters=(F.col("version") == "latest",), min_score=1.0)
-    return search.text_search(_view(spark, sf_dir), "collector", options).select("id", "document_id", "section_path", "score")
+    return search.find(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"), "collector", options).select("id", "document_id", "section_path", "score")
 
 
 @register(_search_sql("caching retries", 100, "TRUE", "document_id, section_path"))
 def text_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_search(_view(spark, sf_dir), "caching retries", search.SearchOptions(limit=100, dedup="document_section")).select("id", "document_id", "section_path", "score")
+    return search.find(table(spark, sf_dir, "document_segments"), table(spark, sf_dir, "documents"), "caching retries", search.SearchOptions(limit=100, dedup="document_section")).select("id", "document_id", "section_path", "score")
 
 
 @register(_VIEW + ", one AS (SELECT * FROM v WHERE is_library_doc QUALIFY row_number() OVER (PARTITION BY section_path ORDER BY id) = 1) SELECT id, document_id, section_path FROM one ORDER BY id LIMIT 50")
@@ -176,14 +176,16 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 @register(_VECTORS + "SELECT w.id, w.document_id, round(list_cosine_similarity(w.e, q.e), 6) AS score FROM w, q ORDER BY list_cosine_similarity(w.e, q.e) DESC, w.id LIMIT 20")
 def vector_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vector.knn(vector.vectors_of(table(spark, sf_dir, "document_segments")), _query_vector(spark, sf_dir), 20)
-    return found.select("id", "document_id", F.round("score", 6).alias("score"))
+    segments = table(spark, sf_dir, "document_segments")
+    near = vector.knn(vector.vectors_of(segments), _query_vector(spark, sf_dir), 20)
+    return vector.beside(near, segments, "document_id").select("id", "document_id", F.round("score", 6).alias("score"))
 
 
 @register(_VECTORS + "SELECT v.id, v.document_id, round(1 / (1 + list_distance(v.e, q.e)), 6) AS score FROM v, q ORDER BY list_distance(v.e, q.e), v.id LIMIT 20")
 def vector_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vector.knn(vector.vectors_of(table(spark, sf_dir, "document_segments")), _query_vector(spark, sf_dir), 20, "l2")
-    return found.select("id", "document_id", F.round("score", 6).alias("score"))
+    segments = table(spark, sf_dir, "document_segments")
+    near = vector.knn(vector.vectors_of(segments), _query_vector(spark, sf_dir), 20, "l2")
+    return vector.beside(near, segments, "document_id").select("id", "document_id", F.round("score", 6).alias("score"))
 
 
 @register(
@@ -192,8 +194,10 @@ def vector_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vector_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = table(spark, sf_dir, "documents").where(F.col("version") == "latest").select(F.col("doc_id").alias("document_id"))
-    vectors = vector.vectors_of(table(spark, sf_dir, "document_segments")).join(latest, "document_id", "left_semi")
-    return vector.knn(vectors, _query_vector(spark, sf_dir), 20, min_score=0.05).select("id", "document_id", F.round("score", 6).alias("score"))
+    segments = table(spark, sf_dir, "document_segments")
+    vectors = vector.vectors_of(segments).join(latest, "document_id", "left_semi")
+    near = vector.knn(vectors, _query_vector(spark, sf_dir), 20, min_score=0.05)
+    return vector.beside(near, segments, "document_id").select("id", "document_id", F.round("score", 6).alias("score"))
 
 
 @register(
@@ -295,11 +299,18 @@ def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.document_id, a.id, b.id AS sibling_id FROM u a JOIN u b ON a.document_id = b.document_id AND a.up = b.up AND a.id <> b.id WHERE contains(lower(a.section_title), 'overview')"""
 )
 def section_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Siblings of the sections called overview."""
+    """Siblings of the sections called overview; ``section_sibling_groups`` has the groups of all."""
     all_ = _titled(spark, sf_dir)
-    asked = all_.where(F.contains(F.lower("section_title"), F.lit("overview"))).withColumn("up", F.coalesce(sections.parent_path(F.col("section_path")), F.lit("")))
-    other = all_.select("document_id", F.coalesce(sections.parent_path(F.col("section_path")), F.lit("")).alias("up"), F.col("id").alias("sibling_id"))
-    return asked.join(other, ["document_id", "up"]).where(F.col("id") != F.col("sibling_id")).select("document_id", "id", "sibling_id")
+    return sections.siblings(all_, all_.where(F.contains(F.lower("section_title"), F.lit("overview"))))
+
+
+@register(
+    _TITLED
+    + """, u AS (SELECT document_id, id, CASE WHEN contains(section_path, '.') THEN regexp_replace(section_path, '\\.[^.]*$', '') ELSE '' END AS parent_path FROM s)
+SELECT document_id, parent_path, id, count(*) OVER (PARTITION BY document_id, parent_path) - 1 AS siblings FROM u"""
+)
+def section_sibling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sibling_groups(_titled(spark, sf_dir))
 
 
 # ---- catalog

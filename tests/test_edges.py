@@ -108,6 +108,27 @@ def test_batch_search_of_the_whole_query_set_equals_brute_force(spark, tmp_path)
 
 def test_siblings_and_contents(spark):
     df = spark.createDataFrame([(1, 1, "1"), (2, 1, "2"), (3, 1, "1.1"), (4, 1, "1.2"), (5, 2, "1")], "id long, document_id long, section_path string").withColumn("section_title", F.lit("t"))
-    assert {(r["id"], r["sibling_id"]) for r in sections.siblings(df).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    assert {(r["id"], r["sibling_id"]) for r in sections.siblings(df, df).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
     got = {r["id"]: (r["parent_id"], r["children"]) for r in sections.toc(df).collect()}
     assert got == {1: (None, 2), 2: (None, 0), 3: (1, 0), 4: (1, 0), 5: (None, 0)}
+
+
+def test_neighbours_of_a_hot_group(spark):
+    """A group with most of the rows is spread over partitions, and its neighbours are right across their borders."""
+    from folioforge.operators import adjacent
+
+    rows = [(1, k) for k in range(3_000)] + [(g, k) for g in range(2, 30) for k in range(g % 3)]
+    df = spark.createDataFrame(rows, "g long, k long")
+    got = {(r["group"], r["value"]): (r["prev"], r["next"]) for r in adjacent.neighbours(df, F.col("g"), [F.col("k")], F.col("k")).collect()}
+    groups = {}
+    for g, k in rows:
+        groups.setdefault(g, []).append(k)
+    assert got == {(g, k): (k - 1 if k else None, k + 1 if k + 1 < len(ks) else None) for g, ks in groups.items() for k in ks}
+    ranged = df.repartitionByRange(8, "g", "k").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranged) < 4 * sorted(r["count"] for r in ranged)[len(ranged) // 2]
+    assert adjacent.neighbours(df.limit(0), F.col("g"), [F.col("k")], F.col("k")).count() == 0
+
+
+def test_sibling_groups(spark):
+    df = spark.createDataFrame([(1, 1, "1.1"), (2, 1, "1.2"), (3, 1, "2"), (4, 2, "1.1")], "id long, document_id long, section_path string")
+    assert {(r["id"], r["parent_path"], r["siblings"]) for r in sections.sibling_groups(df).collect()} == {(1, "1", 1), (2, "1", 1), (3, "", 0), (4, "1", 0)}
