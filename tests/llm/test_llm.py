@@ -388,6 +388,31 @@ def test_exact_pairs_and_heavy_values(spark, monkeypatch):
     assert len(got & expected) >= 0.9 * len(expected)
 
 
+def test_every_pair_at_the_edge_is_found(spark, monkeypatch):
+    """Pairs just at and just below the least similarity, a crowd beside them, in one block and in several."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(np.arange(300) % 3 < 2, 0.751, 0.749)[:, None]
+    crowd = base[:1] + rng.normal(size=(200, 64)) * 0.004
+    vectors = np.concatenate((base, (cosine * base + np.sqrt(1 - cosine**2) * aside) * 3, crowd, crowd[:2])).astype("float32")
+    rows = [(k * 7 % 1009, v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    near = true_neighbours(rows, 10)
+    expected = {(int(min(i, j)), int(max(i, j))) for i, found in near.items() for j, s in found if s >= 0.75}
+    edge = {(min(a, b), max(a, b)) for a, b in ((k * 7 % 1009, (300 + k) * 7 % 1009) for k in range(1, 300) if k % 3 < 2)}
+    assert edge <= expected
+    for most in (100_000, 150):
+        monkeypatch.setattr(hashknn, "SCAN_CLASSES", most)
+        got = [tuple(r) for r in hashknn.similar_pairs(df, least=0.75).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    hashed = {tuple(r) for r in hashknn.similar_pairs_hashed(df, least=0.75).collect()}
+    assert not edge <= hashed
+
+
 def test_the_radius_of_the_index():
     """Codes within the radius share a substring and pass the bound; the edge's recall doesn't fall with size."""
     for n in (100, 10**4, 10**6, 10**9):
