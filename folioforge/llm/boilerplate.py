@@ -1,9 +1,12 @@
 """Main body of pages by equivalence-class template deduction (problem 2).
 
-Pages of one host come from templates.  A token's role is its place in a line,
-counted from the start or from the end, among the lines of its host that open (or
-close, or open and close) with the same tokens.  A role that occurs as often as such a group
-has lines occurs in exactly those lines: it shares the group's occurrence vector
+Pages of one host come from templates.  A token's role is its place in a line among
+the lines of its host that open (or close, or open and close) with the same tokens,
+by their first sentence or, if they have several, by the line's end.
+All tokens of a line have a role, however long it is: how many of the same token stand
+before it in the line, which a slot of any length leaves as it is.  Those near the
+line's ends have their places counted from the start and from the end as roles, too.
+A role that occurs as often as such a group has lines occurs in exactly those lines: it shares the group's occurrence vector
 over the pages.  The roles of one vector form an equivalence class; nested by their
 place they give a template, fixed tokens with slots between them.  The same classes
 are deduced over all hosts together, for hosts that show a template too seldom.
@@ -56,10 +59,12 @@ MIN_PAGES = 10
 PROSE_SHARE = 0.1
 #: Share of a group's lines in which a role must occur, and of the roles that a line must have (a few lines are damaged).
 SAME_VECTOR = 0.9
-#: Share of fixed tokens in lines of several sentences.
+#: Share of fixed tokens in lines of several sentences, and of the whole line's roles that a line must have if its ends fit.
 FIXED_SHARE = 0.5
-#: Places counted from a line's start and from its end.
+#: Places counted from a line's start and from its end, beside the roles of all tokens.
 PREFIX, SUFFIX = 12, 6
+#: Roles of all tokens have this and the number of the same before them as their place.
+WHOLE = PREFIX + SUFFIX
 #: log2 of the bits of a filter of group ids (16 MB).
 FILTER_BITS = 27
 #: Rows that a worker gathers before it combines them.
@@ -88,7 +93,7 @@ def _combine(*columns: np.ndarray) -> np.ndarray:
 
 
 def _keys(page: lk.Lines, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence, key): all tokens of short ones; else the first two, first and third, first and last, and the last two tokens."""
+    """(sentence, key): all tokens of short ones; else the first two, first and third, first and last, and the last two tokens; of a line of several sentences its last two, too."""
     first, last = page.s_first[sentences], page.s_last[sentences]
     n = last - first + 1
     h = page.hash
@@ -99,7 +104,11 @@ def _keys(page: lk.Lines, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rest = np.flatnonzero(~short)
     a, z = first[rest], last[rest]
     kinds = [_combine(np.full(len(a), 4 + k), h[b], h[c]) for k, (b, c) in enumerate(((a, a + 1), (a, a + 2), (a, z), (z - 1, z)))]
-    return np.concatenate([at, rest, rest, rest, rest]), np.concatenate([whole, *kinds])
+    # how a line closes, against how sentences before the last do
+    closing = np.flatnonzero(np.where(page.s_able[sentences], page.s_more[sentences], page.s_more[sentences] | (page.kind[page.s_line[sentences]] == lk.LIST)) & ~short)
+    z = np.where(page.s_able[sentences], page.first[page.s_line[sentences] + 1] - 1, page.s_last[sentences])[closing]
+    kinds.append(_combine(np.full(len(z), 4 + len(kinds)), h[z - 1], h[z]))
+    return np.concatenate([at, rest, rest, rest, rest, closing]), np.concatenate([whole, *kinds])
 
 
 class Page(lk.Lines):
@@ -124,6 +133,8 @@ class Page(lk.Lines):
         able = ((self.kind == lk.TEXT) & ~leads) | link
         self.s_able = able[self.s_line] & (self.s_place == 0)
         self.s_inside = ~self.s_able & ((self.s_place > 0) | (self.kind[self.s_line] == lk.LIST)) & ~leads[self.s_line]
+        # another sentence of the line follows
+        self.s_more = np.append(self.s_line[1:] == self.s_line[:-1], False) if len(self.s_line) else np.zeros(0, dtype=bool)
         # what stands beside a block: the longest line of the text outside of it
         of = self.block >= 0
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * _GOLD ^ (self.hash >> np.uint64(29)), dtype=np.uint64)))
@@ -144,10 +155,27 @@ class Page(lk.Lines):
         out[self.text[at]] = at
         return out
 
+    def body(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, end) of lines without their list marks."""
+        return self.first[lines] + np.where(self.kind[lines] == lk.LIST, self.mark[lines], 0), self.first[lines + 1]
+
+    def before(self, lines: np.ndarray) -> np.ndarray:
+        """For each token of the texts, if its line is among ``lines``: how many of the same stand before it in the line's body."""
+        among = np.zeros(len(self.kind), dtype=bool)
+        among[lines] = True
+        at = np.flatnonzero(among[self.line])
+        at = at[at >= self.body(self.line[at])[0]]
+        # equal tokens of a line side by side, in their order
+        at = at[np.lexsort((self.hash[at], self.line[at]))]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (self.hash[at[1:]] != self.hash[at[:-1]]) | (self.line[at[1:]] != self.line[at[:-1]])
+        out = np.zeros(len(self.hash), dtype=np.int64)
+        out[at] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        return out
+
     def roles(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into ``lines``, place, token index) of the roles of whole lines."""
-        begin = self.first[lines] + np.where(self.kind[lines] == lk.LIST, self.mark[lines], 0)
-        end = self.first[lines + 1]
+        begin, end = self.body(lines)
         which, place, token = [], [], []
         for k in range(PREFIX):
             ok = np.flatnonzero(begin + k < end)
@@ -155,6 +183,10 @@ class Page(lk.Lines):
         for k in range(SUFFIX):
             ok = np.flatnonzero(end - 1 - k >= begin)
             which.append(ok), place.append(np.full(len(ok), PREFIX + k)), token.append(end[ok] - 1 - k)
+        size = end - begin
+        every = np.repeat(np.arange(len(lines)), size)
+        token.append(np.arange(len(every)) + np.repeat(begin - np.cumsum(size) + size, size))
+        which.append(every), place.append(WHOLE + self.before(lines)[token[-1]])
         return np.concatenate(which), np.concatenate(place), np.concatenate(token)
 
 
@@ -259,7 +291,7 @@ def _role_batches(shared):
 
         def flush() -> pa.RecordBatch:
             ids, place, token, word, n = held.pop()
-            return pa.RecordBatch.from_arrays([_signed(ids), pa.array(place.astype(np.int16)), _signed(token), pa.array(word), pa.array(n)], names=["id", "place", "token", "word", "n"])
+            return pa.RecordBatch.from_arrays([_signed(ids), pa.array(place.astype(np.int32)), _signed(token), pa.array(word), pa.array(n)], names=["id", "place", "token", "word", "n"])
 
         for _, sites, documents, page in _pages(batches):
             line, ids = _candidates(page, sites, words)
@@ -267,13 +299,13 @@ def _role_batches(shared):
                 continue
             which, place, token = page.roles(line)
             held.append((ids[which], place, page.hash[token], page.word[token], np.ones(len(which), np.int64)))
-            tokens = page.first[line + 1] - page.first[line]
+            begin, end = page.body(line)
             alone = page.has_neighbour[line]
             for mark, value, n in (
                 (_LINES, np.zeros(len(line), np.uint64), np.ones(len(line), np.int64)),
                 (_PAGE, documents[page.text[line]].astype(np.int64).view(np.uint64), np.ones(len(line), np.int64)),
                 (_NEIGHBOUR, page.neighbour[line], alone.astype(np.int64)),
-                (_TOKENS, np.zeros(len(line), np.uint64), np.minimum(tokens, PREFIX + SUFFIX)),
+                (_TOKENS, np.zeros(len(line), np.uint64), end - begin),
                 (_SEVERAL, np.zeros(len(line), np.uint64), page.several[line].astype(np.int64)),
             ):
                 some = n > 0
@@ -338,8 +370,8 @@ def able_groups(base: DataFrame) -> DataFrame:
 
 
 def templates(base: DataFrame, able: DataFrame) -> DataFrame:
-    """(id, fixed): the valid equivalence classes; fixed holds the roles that share the group's vector."""
-    schema = "id long, place short, token long, word boolean, n long"
+    """(id, ends, whole): the valid equivalence classes; the roles that share the group's vector, of places from the ends and of the whole line."""
+    schema = "id long, place int, token long, word boolean, n long"
     counted = base.mapInArrow(_role_batches(id_filter(able)), schema).groupBy("id", "place", "token").agg(F.max("word").alias("word"), F.sum("n").alias("n"))
     counted = cut(counted.join(able, "id", "left_semi"), "roles")
     n = lambda mark: F.sum(F.when(F.col("place") == mark, F.col("n")))
@@ -349,13 +381,10 @@ def templates(base: DataFrame, able: DataFrame) -> DataFrame:
     sizes = sizes.where((F.col("pages") >= MIN_PAGES) & (F.col("beside") >= MIN_PAGES)).select("id", "lines", (F.col("tokens") / F.col("lines")).alias("tokens"), (F.col("several") >= 0.5 * F.col("lines")).alias("several"))
     roles = counted.where(F.col("place") >= 0).join(sizes, "id").where(F.col("n") >= SAME_VECTOR * F.col("lines"))
     roles = roles.mapInArrow(_role_hash_batches, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in roles.schema) + ", role long")
-    # a place near both ends has a role from each; the larger number of either end counts
-    front, back = F.count_if(F.col("place") < PREFIX), F.count_if(F.col("place") >= PREFIX)
-    grouped = roles.groupBy("id", "tokens", "several").agg(
-        F.collect_list("role").alias("fixed"), F.max("word").alias("word"), F.least(front + back, F.greatest(front, back, F.when(F.col("tokens") > SUFFIX, F.least(front + back, F.col("tokens"))).otherwise(0))).alias("places")
-    )
+    # a token of the whole line is counted once, whatever its places from the ends
+    grouped = roles.groupBy("id", "tokens", "several").agg(*[F.collect_list(F.when(where, F.col("role"))).alias(c) for c, where in (("ends", F.col("place") < WHOLE), ("whole", F.col("place") >= WHOLE))], F.max("word").alias("word"), F.count_if(F.col("place") >= WHOLE).alias("places"))
     enough = (F.col("places") >= F.least(F.lit(2.0), F.col("tokens"))) & F.col("word")
-    return grouped.where(enough & (~F.col("several") | (F.col("places") >= FIXED_SHARE * F.col("tokens")))).select("id", "fixed")
+    return grouped.where(enough & (~F.col("several") | (F.col("places") >= FIXED_SHARE * F.col("tokens")))).select("id", "ends", "whole")
 
 
 def furniture_lines(segments: DataFrame, documents: DataFrame, id_col: str = "id", document_col: str = "document_id", content_col: str = "content") -> DataFrame:
@@ -366,7 +395,9 @@ def furniture_lines(segments: DataFrame, documents: DataFrame, id_col: str = "id
     if found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         found = F.broadcast(found)
     lines = base.mapInArrow(_line_batches(shared), "segment_id long, first int, last int, id long, has array<bigint>")
-    same = F.size(F.array_except("f.fixed", "l.has")) <= (1 - SAME_VECTOR) * F.size("f.fixed")
+    has = lambda fixed, share: F.size(F.array_except(fixed, "l.has")) <= (1 - share) * F.size(fixed)
+    # a token more or less near an end moves the places there, but not the rest
+    same = has("f.whole", SAME_VECTOR) | (has("f.ends", SAME_VECTOR) & has("f.whole", FIXED_SHARE))
     hit = lines.alias("l").join(found.alias("f"), (F.col("l.id") == F.col("f.id")) & same, "left_semi").select("segment_id", "first", "last").distinct()
     return hit.select("segment_id", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
 

@@ -243,6 +243,27 @@ def test_furniture_of_no_known_kind(spark, monkeypatch):
     assert {tuple(r) for r in boilerplate.furniture_lines(segments, documents).collect()} == expected
 
 
+def test_furniture_is_judged_by_whole_lines(spark):
+    """Long lines that are alike only at their ends are main body; those that are alike all through but near an end are not."""
+    segments, documents, expected = unlisted_tables(spark)
+    legal = " ".join(f"clause{a}{b}" for a in "abcdefg" for b in "uvwxyz")
+    series = "This belongs to the long series on tables, filled and read by many hands. Its plan stands beside the first of them all."
+    more = []
+    for d in range(20):
+        own = [f"{w}{chr(97 + d)}" for w in WORDS]
+        lead = " ".join(own[k] + " moves" for k in range(0, 24, 3))
+        more += [
+            (4000 + d, d, f"{lead}\n\nPlease note these twelve things about our site as they stand today, namely {' '.join(own)}. And {' '.join(reversed(own))}. That is all we hold."),
+            (5000 + d, d, f"{lead}\n\nLegal matters {' '.join(own[:12])}. Whoever reads on accepts {legal} for good and all, {' '.join(own[12:20])}."),
+            (6000 + d, d, f"{lead}\n\n{' '.join(own[4:10])}. {series}"),
+            (7000 + d, d, f"{lead}\n\nOur {'own ' * (d == 3)}terms of use bind {legal} as ever. They hold for all who come by."),
+        ]
+        expected |= {(5000 + d, 2), (6000 + d, 2), (7000 + d, 2)}
+    more = spark.createDataFrame(more, "id long, document_id long, content string")
+    got = {tuple(r) for r in boilerplate.furniture_lines(segments.unionByName(more), documents).collect()}
+    assert got == expected
+
+
 # ---- 3 residue
 
 
